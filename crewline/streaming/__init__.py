@@ -1,0 +1 @@
+"""Every source is read as a batch; there is no streaming operator to offer."""
