@@ -12,77 +12,68 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from crewline.functions.geo import EARTH_MILES, distance_miles, miles_between
+from crewline.functions.geo import EARTH_MILES, distance_miles
 from crewline.operators.latest import top_k_per_group
 
 FINEST = 64  # cells per degree
-SHIFTS = (9, 6, 3, 0)  # cell widths: 8 degrees, 1 degree, 1/8 and 1/64 degree
+SHIFTS = (8, 4, 0)  # cell widths: 4 degrees, 1/4 and 1/64 degree
 # Distances are compared after rounding to 0.1 mile; bounds leave that much room.
 SLACK = 0.2
 
 
-def _gridded(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {
-            "row": F.floor((F.col("lat") + 90) * FINEST).cast("int"),
-            "col": F.floor((F.col("lng") + 180) * FINEST).cast("int"),
-        }
-    )
+def _cell(shift: int) -> str:
+    """Grid cell of a point as one number; ``part`` (the company) stands above it."""
+    return f"shiftleft(part, 40) + shiftleft(shiftright(row, {shift}), 16) + shiftright(col, {shift})"
+
 
+def _gridded(df: DataFrame, part: Column | None = None) -> DataFrame:
+    places = {"row": f"(lat + 90) * {FINEST}", "col": f"(lng + 180) * {FINEST}"}
+    df = df.withColumn("part", (F.lit(0) if part is None else part).cast("long"))
+    return df.withColumns({name: F.floor(F.expr(text)) for name, text in places.items()})
 
-def _cells(points: DataFrame, prefix: str, shift: int, up: int | None, extra: Sequence[str], counted: bool) -> DataFrame:
-    """Occupied cells of one grid with centre, reach and the id of the cell above."""
-    at = [F.shiftright(name, shift).alias(f"{prefix}_{name}") for name in ("row", "col")]
-    boxes = points.groupBy(*extra, *at).agg(
-        F.min("lat").alias("lat_lo"), F.max("lat").alias("lat_hi"),
-        F.min("lng").alias("lng_lo"), F.max("lng").alias("lng_hi"),
-        *([F.sum("n").alias("n")] if counted else []),
+
+def _cells(points: DataFrame, name: str, shift: int, up: int | None) -> DataFrame:
+    """Occupied cells of one grid: id, id of the cell above, centre as a unit vector, reach, points."""
+    above = "0L" if up is None else f"max({_cell(up)})"
+    boxes = points.groupBy(F.expr(_cell(shift)).alias(name)).agg(
+        F.expr(f"{above} AS {name}_up"), F.expr("max(part) AS part"), F.expr("sum(n) AS n"),
+        F.expr("min(lat) AS south"), F.expr("max(lat) AS north"), F.expr("min(lng) AS west"), F.expr("max(lng) AS east"),
     )
     # From the centre any point is reached along a meridian and then along a parallel; a parallel is
     # longest at the latitude nearest to the equator.
-    widest = F.when(
-        F.signum("lat_lo") == F.signum("lat_hi"), F.cos(F.radians(F.least(F.abs("lat_lo"), F.abs("lat_hi"))))
-    ).otherwise(1.0)
-    reach = F.radians((F.col("lat_hi") - F.col("lat_lo")) / 2) + widest * F.radians((F.col("lng_hi") - F.col("lng_lo")) / 2)
-    ids = [f"{prefix}_row", f"{prefix}_col"]
-    above = [] if up is None else [F.shiftright(name, up - shift).alias(f"{name}_up") for name in ids]
-    return boxes.select(
-        *extra, *ids, *above,
-        ((F.col("lat_lo") + F.col("lat_hi")) / 2).alias(f"{prefix}_lat"),
-        ((F.col("lng_lo") + F.col("lng_hi")) / 2).alias(f"{prefix}_lng"),
-        (reach * EARTH_MILES).alias(f"{prefix}_reach"),
-        *(["n"] if counted else []),
+    widest = "CASE WHEN south * north > 0 THEN cos(radians(least(abs(south), abs(north)))) ELSE 1 END"
+    lat, lng = "radians((south + north) / 2)", "radians((west + east) / 2)"
+    return boxes.selectExpr(
+        name, f"{name}_up", f"part AS {name}_part", f"n AS {name}_n",
+        f"cos({lat}) * cos({lng}) AS {name}_x", f"cos({lat}) * sin({lng}) AS {name}_y", f"sin({lat}) AS {name}_z",
+        f"{EARTH_MILES} * radians((north - south) / 2 + {widest} * (east - west) / 2) AS {name}_reach",
     )
 
 
 def _bounded(pairs: DataFrame, k: int, radius: float) -> DataFrame:
     """Count whole cells inside the radius, drop what is settled, keep the rest open."""
-    apart = miles_between(F.col("q_lat"), F.col("q_lng"), F.col("s_lat"), F.col("s_lng"))
-    reach = F.col("q_reach") + F.col("s_reach")
-    pairs = pairs.withColumns({"apart": apart, "reach": reach}).select(
-        "company_name", "q_row", "q_col", "s_row", "s_col", "n", "for_count", "for_nearest", "counted",
-        (F.col("apart") - F.col("reach")).alias("lo"), (F.col("apart") + F.col("reach")).alias("hi"),
-    )
-    group = Window.partitionBy("company_name", "q_row", "q_col")
-    closest = group.orderBy("hi", "s_row", "s_col").rowsBetween(Window.unboundedPreceding, 0)
-    sure = F.sum(F.when(F.col("for_nearest"), F.col("n"))).over(closest)
-    inside = F.col("for_count") & (F.col("hi") < radius)
-    pairs = pairs.withColumn("sure", sure)
-    pairs = pairs.withColumns(
-        {
-            "limit": F.min(F.when(F.col("for_nearest") & (F.col("sure") >= k), F.col("hi"))).over(group),
-            "counted": F.col("counted") + F.coalesce(F.sum(F.when(inside, F.col("n"))).over(group), F.lit(0)),
-            "for_count": F.col("for_count") & ~inside & (F.col("lo") <= radius + SLACK),
-        }
-    )
-    near = F.col("for_nearest") & (F.col("limit").isNull() | (F.col("lo") <= F.col("limit") + SLACK))
-    return (
-        pairs.withColumn("for_nearest", near)
-        .where(F.col("for_count") | F.col("for_nearest"))
-        .select("company_name", "q_row", "q_col", "s_row", "s_col", "for_count", "for_nearest", "counted")
+    half_chord = "sqrt(greatest(0D, (1 - q_x * s_x - q_y * s_y - q_z * s_z) / 2))"
+    apart, reach = f"{2 * EARTH_MILES} * asin(least({half_chord}, 1D))", "(q_reach + s_reach)"
+    may_count = f"for_count AND lo <= {radius + SLACK}"
+    may_near = f"for_nearest AND (limit IS NULL OR lo <= limit + {SLACK})"
+    inside = f"for_count AND hi < {radius}"
+    pairs = pairs.selectExpr("q", "s", "s_part", "s_n", "for_count", "for_nearest", "counted", "limit", f"{apart} AS apart", f"{reach} AS reach")
+    pairs = pairs.selectExpr("* EXCEPT (apart, reach)", "apart - reach AS lo", "apart + reach AS hi")
+    # What the grid above already rules out does not reach the shuffle.
+    pairs = pairs.where(f"({may_count}) OR ({may_near})")
+    group = "PARTITION BY q, s_part"
+    pairs = pairs.selectExpr(
+        "*", f"sum(CASE WHEN for_nearest THEN s_n END) OVER ({group} ORDER BY hi ROWS UNBOUNDED PRECEDING) AS sure"
+    ).selectExpr(
+        "* EXCEPT (counted, limit)",
+        f"min(CASE WHEN for_nearest AND sure >= {k} THEN hi END) OVER ({group}) AS limit",
+        f"counted + coalesce(sum(CASE WHEN {inside} THEN s_n END) OVER ({group}), 0) AS counted",
     )
+    return pairs.selectExpr(
+        "q", "s", "counted", "limit", f"{may_count} AND NOT ({inside}) AS for_count", f"{may_near} AS for_nearest"
+    ).where("for_count OR for_nearest")
 
 
 def nearest_k(points: DataFrame, stores: DataFrame, companies: Sequence[str], k: int = 5, radius: float = 25.0) -> DataFrame:
@@ -92,59 +83,46 @@ def nearest_k(points: DataFrame, stores: DataFrame, companies: Sequence[str], k:
     lng``. Distances are rounded to 0.1 mile before they are ranked and before they are compared with
     the radius; equal ones are ranked by store number. Points or stores without coordinates drop out.
     """
+    spark = points.sparkSession
     placed = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    names = F.array(*[F.lit(c) for c in companies])
     points = points.where(placed)
     stores = stores.where(placed & F.col("company_name").isin(list(companies)))
-    sites = _gridded(points.select("lat", "lng").distinct())
-    spots = _gridded(stores.groupBy("company_name", "lat", "lng").agg(F.count("*").alias("n")))
-
-    # The coarsest grid has at most 23 x 45 cells per company, whatever the size of the data.
-    top = SHIFTS[0]
-    asked = F.explode(F.array(*[F.lit(c) for c in companies])).alias("company_name")
-    pairs = _cells(sites, "q", top, None, [], False).select("*", asked).join(
-        F.broadcast(_cells(spots, "s", top, None, ["company_name"], True)), "company_name"
-    )
-    pairs = pairs.withColumns({"for_count": F.lit(True), "for_nearest": F.lit(True), "counted": F.lit(0).cast("long")})
-    pairs = _bounded(pairs, k, radius)
+    stores = _gridded(stores, F.array_position(names, F.col("company_name")))
+    sites = _gridded(points.select("lat", "lng", F.lit(1).alias("n")).distinct())
+    spots = stores.groupBy("part", "lat", "lng", "row", "col").agg(F.count("*").alias("n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    # The coarsest grid has at most 46 x 91 cells per company, whatever the size of the data.
+    asked = F.explode(F.sequence(F.lit(1), F.lit(len(companies)))).alias("part")
+    coarse = F.broadcast(_cells(spots, "s", SHIFTS[0], None))
+    pairs = _cells(sites, "q", SHIFTS[0], None).select("*", asked).join(coarse, F.col("part") == F.col("s_part"))
+    start = ["true AS for_count", "true AS for_nearest", "0L AS counted", "CAST(NULL AS DOUBLE) AS limit"]
+    pairs = _bounded(pairs.selectExpr("*", *start), k, radius)
     for up, shift in zip(SHIFTS, SHIFTS[1:]):
-        open_pairs = pairs.select(
-            "company_name", "for_count", "for_nearest", "counted",
-            *[F.col(name).alias(f"{name}_up") for name in ("q_row", "q_col", "s_row", "s_col")],
-        )
-        q_cells = _cells(sites, "q", shift, up, [], False)
-        s_cells = _cells(spots, "s", shift, up, ["company_name"], True)
-        pairs = open_pairs.join(q_cells, ["q_row_up", "q_col_up"]).join(
-            s_cells, ["company_name", "s_row_up", "s_col_up"]
-        )
+        # A pair can grow into many: spread the pairs by number, not by size, before they do.
+        pairs = pairs.withColumnsRenamed({"q": "q_up", "s": "s_up"}).repartition(parts)
+        pairs = pairs.join(_cells(sites, "q", shift, up), "q_up").join(_cells(spots, "s", shift, up), "s_up")
         pairs = _bounded(pairs, k, radius)
 
-    site_points = sites.select(F.col("lat").alias("q_lat"), F.col("lng").alias("q_lng"), F.col("row").alias("q_row"), F.col("col").alias("q_col"))
-    spot_points = spots.select("company_name", "n", F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"), F.col("row").alias("s_row"), F.col("col").alias("s_col"))
-    met = (
-        pairs.join(site_points, ["q_row", "q_col"])
-        .join(spot_points, ["company_name", "s_row", "s_col"])
-        .withColumn("distance_miles", distance_miles(F.col("q_lat"), F.col("q_lng"), F.col("s_lat"), F.col("s_lng")))
-    )
-    group = Window.partitionBy("company_name", "q_lat", "q_lng")
-    within = F.sum(F.when(F.col("for_count") & (F.col("distance_miles") <= radius), F.col("n"))).over(group)
-    met = (
-        met.withColumn("stores_within_radius", F.col("counted") + F.coalesce(within, F.lit(0)))
-        .where("for_nearest")
-        .withColumn("spot_rank", F.rank().over(group.orderBy("distance_miles")))
-        .where(F.col("spot_rank") <= k)
-    )
+    ends = sites.selectExpr(f"{_cell(0)} AS q", "lat AS q_lat", "lng AS q_lng")
+    spot_ends = spots.selectExpr(f"{_cell(0)} AS s", "part", "n", "lat AS s_lat", "lng AS s_lng")
+    miles = distance_miles(F.col("q_lat"), F.col("q_lng"), F.col("s_lat"), F.col("s_lng"))
+    met = pairs.join(ends, "q").join(spot_ends, "s").withColumn("distance_miles", miles)
+    group = "PARTITION BY part, q_lat, q_lng"
+    met = met.selectExpr(
+        "part", "q_lat", "q_lng", "s_lat", "s_lng", "distance_miles", "for_nearest",
+        f"counted + coalesce(sum(CASE WHEN for_count AND distance_miles <= {radius} THEN n END) OVER ({group}), 0) AS stores_within_radius",
+    ).where("for_nearest")
+    # Spots with equal rounded distance share a rank, so no tie is lost here.
+    met = met.selectExpr("* EXCEPT (for_nearest)", f"rank() OVER ({group} ORDER BY distance_miles) AS spot_rank")
+    met = met.where(F.col("spot_rank") <= k).drop("spot_rank")
     # Of stores at one spot only the first k by number can be among the k nearest.
-    first_stores = top_k_per_group(stores, ["company_name", "lat", "lng"], ["store_number"], k)
+    first_stores = top_k_per_group(stores, ["part", "lat", "lng"], ["store_number"], k).drop("row", "col")
     first_stores = first_stores.withColumnsRenamed({"lat": "s_lat", "lng": "s_lng"})
     ranked = top_k_per_group(
-        met.select("company_name", "q_lat", "q_lng", "s_lat", "s_lng", "distance_miles", "stores_within_radius").join(
-            first_stores, ["company_name", "s_lat", "s_lng"]
-        ),
-        ["company_name", "q_lat", "q_lng"],
-        ["distance_miles", "store_number"],
-        k,
-        rank="rank",
+        met.join(first_stores, ["part", "s_lat", "s_lng"]), ["part", "q_lat", "q_lng"], ["distance_miles", "store_number"], k, rank="rank"
     )
-    totals = spots.groupBy("company_name").agg(F.sum("n").alias("total_active_stores"))
-    ranked = ranked.join(totals, "company_name").drop("s_lat", "s_lng")
+    totals = spots.groupBy("part").agg(F.sum("n").alias("total_active_stores"))
+    ranked = ranked.join(totals, "part").drop("part", "s_lat", "s_lng")
     return points.join(ranked.withColumnsRenamed({"q_lat": "lat", "q_lng": "lng"}), ["lat", "lng"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from crewline.sources import schemas
 
@@ -29,13 +29,12 @@ def read_table(spark: SparkSession, name: str, table: str) -> DataFrame:
 def conform(df: DataFrame, name: str, *extra: str) -> DataFrame:
     """Bring a frame to a mart schema: cast what is there, add what is not as NULL."""
     have = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f"`{field.name}`") if field.name in have else F.lit(None)).cast(field.dataType).alias(field.name)
-            for field in schemas.mart_schema(name)
-        ],
-        *extra,
-    )
+
+    def cast(field: T.StructField) -> str:
+        source = f"`{field.name}`" if field.name in have else "NULL"
+        return f"CAST({source} AS {field.dataType.simpleString()}) AS `{field.name}`"
+
+    return df.selectExpr(*[cast(field) for field in schemas.mart_schema(name)], *extra)
 
 
 def with_optional(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

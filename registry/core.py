@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
-from crewline.functions.times import dt_string
 from crewline.params import FunnelParams
 from registry.staging import Staged
 from registry.staging_sql import FUNNEL, STAGING
@@ -33,22 +32,22 @@ ORACLES: dict[str, str] = {}
 def present(df: DataFrame) -> DataFrame:
     """Plain comparable types: amounts as doubles, days and moments as text, counts as longs."""
 
-    def plain(field: T.StructField):
-        col = F.col(f"`{field.name}`")
+    def plain(field: T.StructField) -> str:
+        name = f"`{field.name}`"
         match field.dataType:
             case T.DecimalType():
-                return col.cast("double")
+                return f"CAST({name} AS DOUBLE) AS {name}"
             case T.DateType():
-                return col.cast("string")
+                return f"CAST({name} AS STRING) AS {name}"
             case T.TimestampNTZType():
-                return dt_string(col)
+                return f"date_format({name}, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS {name}"
             case T.IntegerType() | T.ShortType() | T.ByteType():
-                return col.cast("long")
+                return f"CAST({name} AS BIGINT) AS {name}"
             case T.BooleanType() | T.LongType() | T.DoubleType() | T.StringType():
-                return col
+                return name
         raise TypeError(f"{field.name}: {field.dataType.simpleString()} has no plain form")
 
-    return df.select(*[plain(f).alias(f.name) for f in df.schema.fields])
+    return df.selectExpr(*[plain(field) for field in df.schema.fields])
 
 
 def check(sql: str, name: str | None = None):

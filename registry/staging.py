@@ -13,15 +13,36 @@ from crewline.sources.tables import conform
 
 MOVE = "INTERVAL 9496 DAY"
 
+# Declared schemas spare a job per table that would read footers.
+RAW = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+        o_orderdate timestamp_ntz, o_orderpriority string""",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,
+        l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,
+        l_shipdate timestamp_ntz""",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
+def _named(made: dict[str, str]) -> list[str]:
+    return [f"{text} AS `{name}`" for name, text in made.items()]
+
 
 class Staged:
     """Lazy frames over one folder of test tables; behaves as a mapping from table name to frame."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.schema(RAW[name]).parquet(f"{self.folder}/{name}.parquet")
+        return self._raw[name]
 
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)
@@ -69,7 +90,7 @@ class Staged:
             "partner_lat": "30 + CAST(c_custkey * 37 % 1000 AS DOUBLE) / 1000",
             "partner_lng": "-120 + CAST(c_custkey * 91 % 3000 AS DOUBLE) / 1000",
         }
-        return conform(rows.withColumns({name: F.expr(text) for name, text in made.items()}), "partner_throughput")
+        return conform(rows.selectExpr("company_name", *_named(made)), "partner_throughput")
 
     @cached_property
     def background_checks(self) -> DataFrame:
@@ -110,7 +131,7 @@ class Staged:
             "assigned_at": "CASE WHEN o_orderkey % 6 IN (2, 3) THEN o_orderdate + INTERVAL 9493 DAY END",
             "completed_at": f"CASE WHEN o_orderkey % 6 = 2 THEN o_orderdate + {MOVE} END",
         }
-        rows = self.raw("orders").select(*[F.expr(text).alias(name) for name, text in made.items()])
+        rows = self.raw("orders").selectExpr(*_named(made))
         return conform(rows, "user_shifts", "shift_key")
 
     @cached_property
@@ -205,7 +226,7 @@ class Staged:
             "lat": "30 + CAST(s_suppkey * 53 % 1000 AS DOUBLE) / 1000",
             "lng": "CASE WHEN s_suppkey % 25 <> 24 THEN -120 + CAST(s_suppkey * 71 % 3000 AS DOUBLE) / 1000 END",
         }
-        return conform(self.raw("supplier").select(*[F.expr(t).alias(n) for n, t in made.items()]), "locations")
+        return conform(self.raw("supplier").selectExpr(*_named(made)), "locations")
 
     @cached_property
     def partner_reliability(self) -> DataFrame:
@@ -215,7 +236,7 @@ class Staged:
             "partner_role_tier": "CASE c_custkey % 4 WHEN 0 THEN 'M1 - Active' WHEN 1 THEN 'M1 - Lapsed' WHEN 2 THEN 'Standard' END",
             "lifetime_shifts": "c_custkey % 11",
         }
-        return conform(self.raw("customer").select(*[F.expr(t).alias(n) for n, t in made.items()]), "partner_reliability")
+        return conform(self.raw("customer").selectExpr(*_named(made)), "partner_reliability")
 
     @cached_property
     def _bonus_events(self) -> DataFrame:
@@ -241,7 +262,7 @@ class Staged:
             "companies": "CASE WHEN event_id % 5 <> 0 THEN array('unit_' || event_id % 3, 'department_' || event_id % 4) END",
             "event_id": "event_id",
         }
-        rows = self._bonus_events.select(*[F.expr(t).alias(n) for n, t in made.items()])
+        rows = self._bonus_events.selectExpr(*_named(made))
         return conform(rows, "bonus_progress", "event_id")
 
     @cached_property
@@ -258,7 +279,7 @@ class Staged:
             "event_id": "event_id",
         }
         rows = self._events.where("event_type = 'error' AND event_id % 4 <= 1")
-        return conform(rows.select(*[F.expr(t).alias(n) for n, t in made.items()]), "partner_deactivations", "event_id")
+        return conform(rows.selectExpr(*_named(made)), "partner_deactivations", "event_id")
 
     @cached_property
     def user_certs(self) -> DataFrame:
@@ -277,7 +298,7 @@ class Staged:
             "assessment_status": "CASE c_custkey % 3 WHEN 0 THEN 'passed' WHEN 1 THEN 'failed' END",
             "ts_account_created": "TIMESTAMP_NTZ '2023-01-01 00:00:00' + c_custkey * INTERVAL 1 HOUR",
         }
-        return conform(self.raw("customer").select(*[F.expr(t).alias(n) for n, t in made.items()]), "partner_assessment_status")
+        return conform(self.raw("customer").selectExpr(*_named(made)), "partner_assessment_status")
 
     @cached_property
     def bgc_override(self) -> DataFrame:
