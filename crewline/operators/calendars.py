@@ -38,26 +38,35 @@ def day_marks(df: DataFrame, key: str, day: str = "shift_date") -> DataFrame:
 def calendar_grid(marks: DataFrame, key: str, day: str = "shift_date") -> DataFrame:
     """One row per cell of every month from a key's first to its last day.
 
-    Weeks start on Monday. Cells outside the month are blank: day 0, no marks.
+    Weeks start on Monday. Cells outside the month are blank: day 0, no marks. The marks of a key, one
+    per day at most, travel as a map beside the cells, so the cells themselves are never shuffled.
     """
+    by_key = (
+        marks.where(F.col(key).isNotNull())
+        .groupBy(key)
+        .agg(
+            F.min(day).alias("first"),
+            F.max(day).alias("last"),
+            F.map_from_entries(F.collect_list(F.struct(day, F.struct("shifts", "day_class")))).alias("marked"),
+        )
+    )
     month = F.col("month_start")
-    span = marks.groupBy(key).agg(F.min(day).alias("first"), F.max(day).alias("last"))
-    months = span.select(
-        key,
-        F.explode(
-            F.sequence(F.trunc("first", "month"), F.trunc("last", "month"), F.expr("INTERVAL 1 MONTH"))
-        ).alias("month_start"),
+    step = F.expr("INTERVAL 1 MONTH")
+    months = by_key.select(
+        key, "marked", F.explode(F.sequence(F.trunc("first", "month"), F.trunc("last", "month"), step)).alias("month_start")
     )
     monday = F.date_sub(month, F.weekday(month))
     sunday = F.date_add(F.last_day(month), 6 - F.weekday(F.last_day(month)))
-    cells = months.select(key, "month_start", F.explode(F.sequence(monday, sunday)).alias("cell"))
+    cells = months.select(key, "marked", "month_start", F.explode(F.sequence(monday, sunday)).alias("cell"))
     inside = F.trunc("cell", "month") == month
-    cells = cells.select(
+    mark = F.when(inside, F.col("marked")[F.col("cell")])
+    return cells.select(
         key,
         "month_start",
         F.floor(F.datediff("cell", monday) / 7).cast("int").alias("week"),
         F.weekday("cell").alias("weekday"),
         F.when(inside, F.dayofmonth("cell")).otherwise(0).alias("day"),
         F.when(inside, F.col("cell")).alias(day),
+        F.coalesce(mark["shifts"], F.lit(0)).alias("shifts"),
+        mark["day_class"].alias("day_class"),
     )
-    return cells.join(marks, [key, day], "left").withColumn("shifts", F.coalesce("shifts", F.lit(0)))

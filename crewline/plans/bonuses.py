@@ -11,6 +11,7 @@ from crewline.functions.text import map_companies, progress as progress_text
 from crewline.operators.joins import scope
 from crewline.operators.latest import dedup_latest
 from crewline.sources.dimensions import COMPANY_NAMES
+from crewline.sources.sinks import materialize
 
 INFO = "title bonus_type amount shifts_required valid_from valid_to companies days_to_complete".split()
 
@@ -35,11 +36,13 @@ def partner_bonuses(
     """Eligible bonuses of every partner with progress and labels.
 
     Eligibility and progress meet on bonus and partner, which spreads a bonus that everybody has. The
-    terms follow by bonus: one row each, broadcast when small, else joined with skewed bonuses split.
+    terms, one row per bonus, are written first: by their size Spark decides to broadcast them or to
+    shuffle by bonus with skewed partitions split.
     """
+    terms = materialize(bonus_info(progress, tie))
     pairs = eligible.select("bonus_id", "partner_id").distinct()
     own = progress.select("bonus_id", "partner_id", "count_progress", "is_complete", "is_viewed")
-    joined = pairs.join(own, ["bonus_id", "partner_id"], "left").join(bonus_info(progress, tie), "bonus_id")
+    joined = pairs.join(own, ["bonus_id", "partner_id"], "left").join(terms, "bonus_id")
     return joined.select(
         "partner_id", "bonus_id", F.col("title").alias("bonus_name"), "bonus_type", "amount", "shifts_required",
         F.coalesce("count_progress", F.lit(0)).alias("shifts_completed"),

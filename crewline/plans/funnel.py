@@ -17,6 +17,7 @@ from crewline.params import FunnelParams
 from crewline.plans.checks import TIE, check_facts
 from crewline.plans.markets import target_markets
 from crewline.sources import dimensions as dims
+from crewline.sources.sinks import materialize
 
 # Roster columns per group, between the common head and tail.
 ROSTER_HEAD = ["partner_id", "first_name", "last_name", "city", "zone_description", "closest_store_miles"]
@@ -38,17 +39,13 @@ ROSTER_DETAIL = {
 }
 
 
-def shift_dispatch(user_shifts: DataFrame, partners: DataFrame, markets: DataFrame, p: FunnelParams) -> DataFrame:
-    """Offers per partner of the target markets around the as-of day.
-
-    Offers are counted per partner on the map side before the partner scope is applied; when the
-    scope is small enough to broadcast, Catalyst moves it below the aggregate by itself.
-    """
+def offer_counts(user_shifts: DataFrame, p: FunnelParams) -> DataFrame:
+    """Offers per partner around the as-of day, combined on the map side."""
     work, start = is_work_shift(F.col("title")), F.col("start")
     coming = (start >= ntz(p.midnight(0))) & (start < ntz(p.midnight(p.dispatch_days)))
     recent = F.col("sent_at") >= ntz(p.midnight(-p.dispatch_days))
     near = in_window(user_shifts, "start", p.midnight(-p.dispatch_days), p.midnight(p.dispatch_days))
-    counted = cond_counts(
+    return cond_counts(
         near.where(F.col("sent_at").isNotNull()),
         ["partner_id"],
         {
@@ -59,8 +56,16 @@ def shift_dispatch(user_shifts: DataFrame, partners: DataFrame, markets: DataFra
             "work_shifts_seen_next_7d": work & coming & F.col("seen_at").isNotNull(),
         },
     )
+
+
+def shift_dispatch(user_shifts: DataFrame, partners: DataFrame, markets: DataFrame, p: FunnelParams) -> DataFrame:
+    """The same for partners of the target markets only.
+
+    The scope is applied to one row per partner; when it is small enough to broadcast, Catalyst moves
+    it below the aggregate by itself.
+    """
     in_market = scope(partners.where(F.col("company_name") == p.company), markets, "zone_description")
-    return scope(counted, in_market, "partner_id")
+    return scope(offer_counts(user_shifts, p), in_market, "partner_id")
 
 
 def completed_shifts(assignments: DataFrame, p: FunnelParams) -> DataFrame:
@@ -83,10 +88,18 @@ def reliability_today(reliability: DataFrame, p: FunnelParams) -> DataFrame:
     return at_snapshot(reliability, "ds", p.as_of_date).select("partner_id", "partner_role_tier", "lifetime_shifts")
 
 
-def cohorted(src: Mapping[str, DataFrame], p: FunnelParams, tie: Sequence[str] = TIE) -> DataFrame:
-    """Active partners of the target markets with their facts and cohort code."""
+def cohorted(
+    src: Mapping[str, DataFrame], p: FunnelParams, tie: Sequence[str] = TIE, markets: DataFrame | None = None
+) -> DataFrame:
+    """Active partners of the target markets with their facts and cohort code.
+
+    The market table is written first unless it is given. Its size is then known when the partners
+    are joined: Spark broadcasts it below its threshold and does not shuffle the partners by zone.
+    Offers need no scope of their own here, for the join keeps partners of the markets only.
+    """
     partners = src["partner_throughput"]
-    markets = target_markets(src["supply_daily_position"], src["store_crm"], p)
+    if markets is None:
+        markets = materialize(target_markets(src["supply_daily_position"], src["store_crm"], p))
     active = active_since(partners.where(F.col("company_name") == p.company), "last_active_at", p.as_of_ts, p.active_days)
     base = active.drop(
         "priority_cohort_l1", "priority_cohort_l2", "partner_role_tier", "bgc_result", "bgc_adjudication_event",
@@ -97,7 +110,7 @@ def cohorted(src: Mapping[str, DataFrame], p: FunnelParams, tie: Sequence[str] =
         "partner_id",
         [
             check_facts(src["background_checks"], p.adjudication_from, False, tie),
-            shift_dispatch(src["user_shifts"], partners, markets.select("zone_description"), p),
+            offer_counts(src["user_shifts"], p),
             reliability_today(src["partner_reliability"], p),
             completed_shifts(src["shift_assignments"], p),
             non_client_s1c(partners, p).withColumn("s1c_elsewhere", F.lit(True)),

@@ -13,6 +13,7 @@ from crewline.operators.counts import shift_kpis
 from crewline.operators.filters import both, filter_in
 from crewline.operators.joins import semi_in
 from crewline.operators.ordering import top_n
+from crewline.sources.sinks import materialize
 
 ORDER = ("shift_date", "shift_time", "shift_id", "store_number", "partner_id")
 
@@ -26,7 +27,10 @@ def shift_filter(
     store: str | None = None,
     supply: DataFrame | None = None,
 ) -> DataFrame:
-    """Only the predicates whose value is given; a zone means the store clusters that supply lists for it."""
+    """Only the predicates whose value is given; a zone means the store clusters that supply lists for it.
+
+    The clusters are written first, so that Spark knows how few they are and leaves the shifts where they are.
+    """
     preds: list[Column] = []
     if company:
         preds.append(F.col("company_name") == company)
@@ -42,7 +46,8 @@ def shift_filter(
     clusters = supply.where(F.col("zone_description") == zone)
     if company:
         clusters = clusters.where(F.col("company_name") == company)
-    return semi_in(rows, "location.store_cluster", clusters, "store_cluster")
+    known = materialize(clusters.select("store_cluster").distinct())
+    return semi_in(rows, "location.store_cluster", known, "store_cluster")
 
 
 def _status() -> Column:

@@ -11,6 +11,7 @@ from crewline.functions.text import roster_location
 from crewline.operators.filters import between_dates
 from crewline.operators.joins import left_one
 from crewline.operators.nearest import nearest_k
+from crewline.sources.sinks import materialize
 
 
 def nearest_stores(partners: DataFrame, locations: DataFrame, companies: Sequence[str], k: int = 5, radius: float = 25.0) -> DataFrame:
@@ -39,8 +40,12 @@ def store_outlook(assignments: DataFrame, companies: Sequence[str], as_of_date:
 
 
 def nearby_outlook(nearest: DataFrame, outlook: DataFrame) -> DataFrame:
-    """Nearest stores with their outlook; a store without shifts shows 0 and a dash."""
-    joined = left_one(nearest, outlook, ["company_name", "store_number"], {"l7d_shifts": 0})
+    """Nearest stores with their outlook; a store without shifts shows 0 and a dash.
+
+    The outlook, one row per store, is written first, so that its size decides about a broadcast and
+    the many partner rows of a busy store need not meet in one task.
+    """
+    joined = left_one(nearest, materialize(outlook), ["company_name", "store_number"], {"l7d_shifts": 0})
     return joined.withColumns(
         {
             "next_shift": F.coalesce(F.col("next_shift_date").cast("string"), F.lit("—")),
