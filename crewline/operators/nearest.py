@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from crewline.functions.geo import EARTH_MILES, distance_miles
 from crewline.operators.latest import top_k_per_group
 
-FINEST = 64  # cells per degree
-SHIFTS = (8, 4, 0)  # cell widths: 4 degrees, 1/4 and 1/64 degree
+FINEST = 32  # cells per degree
+SHIFTS = (7, 3, 0)  # cell widths: 4 degrees, 1/4 and 1/32 degree (about 2 miles)
 # Distances are compared after rounding to 0.1 mile; bounds leave that much room.
 SLACK = 0.2
 

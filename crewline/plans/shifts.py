@@ -15,7 +15,7 @@ from crewline.operators.joins import semi_in
 from crewline.operators.ordering import top_n
 from crewline.sources.sinks import materialize
 
-ORDER = ("shift_date", "shift_time", "shift_id", "store_number", "partner_id")
+ORDER = ("shift_date", "shift.start", "shift_id", "location.external_id", "partner_id")
 
 
 def shift_filter(
@@ -56,9 +56,10 @@ def _status() -> Column:
     )
 
 
-def market_shifts(filtered: DataFrame) -> DataFrame:
-    """Flat shift rows with completion status and pay."""
-    return filtered.select(
+def market_shifts(filtered: DataFrame, cap: int | None = None) -> DataFrame:
+    """Flat shift rows with completion status and pay; all of them, or the first ``cap`` in time."""
+    rows = top_n(filtered, ORDER, cap) if cap else filtered
+    return rows.select(
         "company_name", "shift_date", "shift_id", "shift_title",
         F.col("shift.type").alias("shift_type"),
         dt_string(F.col("shift.start")).alias("shift_time"), dt_string(F.col("shift.end")).alias("shift_end"),
@@ -75,11 +76,10 @@ def market_shifts(filtered: DataFrame) -> DataFrame:
     )
 
 
-def market_kpis(shifts: DataFrame, statuses=(), cap: int | None = None) -> DataFrame:
-    """Counts and pay of the rows with the given statuses; ``cap`` looks at the first rows only."""
-    rows = top_n(shifts, ORDER, cap) if cap else shifts
+def market_kpis(shifts: DataFrame, statuses=()) -> DataFrame:
+    """Counts and pay of the shift rows with the given statuses."""
     status = F.col("completion_status")
-    flagged = filter_in(rows, {"completion_status": statuses}).select(
+    flagged = filter_in(shifts, {"completion_status": statuses}).select(
         (status == "Completed").alias("is_completed"), (status == "No Show").alias("is_noshow"),
         (status == "Canceled").alias("is_canceled"), F.col("total_pay").alias("total_amount"),
         "partner_id", "store_number",

@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Call sites of single column expressions help debugging only and slow down plan building.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

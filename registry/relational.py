@@ -669,14 +669,10 @@ WITH m_all AS (
 """
 
 
-@check(
-    MARKET_SQL
-    + """SELECT shift_date, shift_time, shift_id, store_number, partner_id, total_pay FROM m_all
-         ORDER BY shift_date, shift_time, shift_id, store_number, partner_id, total_pay LIMIT 2000"""
-)
+@check(MARKET_SQL + "SELECT * FROM m_all ORDER BY shift_date, shift_time, shift_id, store_number, partner_id, total_pay LIMIT 2000")
 def top_n(s: Staged):
-    rows = shifts.market_shifts(s.shift_assignments).select(*shifts.ORDER, "total_pay")
-    return ordering.top_n(rows, [*shifts.ORDER, "total_pay"], 2000)
+    first = ordering.top_n(s.shift_assignments, [*shifts.ORDER, "payment.total_amount"], 2000)
+    return shifts.market_shifts(first)
 
 
 @check(MARKET_SQL + "SELECT shift_id, store_number, partner_id, total_pay FROM m_all ORDER BY shift_id, store_number, partner_id, total_pay LIMIT 1")
