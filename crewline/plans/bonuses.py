@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from crewline.functions.shifts import bonus_class, bonus_status, opted_in
 from crewline.functions.text import map_companies, progress as progress_text
-from crewline.operators.joins import scope
 from crewline.operators.latest import dedup_latest
 from crewline.sources.dimensions import COMPANY_NAMES
 from crewline.sources.sinks import materialize
@@ -21,12 +20,6 @@ def bonus_info(progress: DataFrame, tie: Sequence[str] = ("partner_id", "count_p
     return dedup_latest(progress, ["bonus_id"], "updated_at", INFO, tie)
 
 
-def partner_progress(progress: DataFrame, eligible: DataFrame) -> DataFrame:
-    """All progress rows of eligible partners; several per bonus are kept."""
-    own = progress.select("bonus_id", "partner_id", "count_progress", "is_complete", "is_viewed")
-    return scope(own, eligible, ["bonus_id", "partner_id"])
-
-
 def partner_bonuses(
     eligible: DataFrame,
     progress: DataFrame,
