@@ -10,10 +10,10 @@ from crewline.functions import bgc, shifts as label
 from crewline.functions.text import other_cities, zone_base_city
 from crewline.operators import calendars, counts, filters, joins, latest, ordering, rollup
 from crewline.operators.nearest import nearest_k as nearest
-from crewline.plans import bonuses, checks, funnel, markets, partners, shifts, stores, zones
+from crewline.plans import bonuses, checks, funnel, markets, shifts, stores, zones
 from crewline.session import shared_dir
 from crewline.sources import dimensions as dims, schemas, sinks, tables
-from registry.core import COMPANIES, EVENT_TIE, P, check, day, moment
+from registry.core import COMPANIES, EVENT_TIE, NAMES, P, check, day, moment
 from registry.staging import Staged
 
 FIRST, LAST = date(2023, 11, 2), date(2024, 3, 1)
@@ -547,8 +547,6 @@ b_all AS (
 
 
 def _bonuses(s: Staged):
-    from registry.core import NAMES
-
     return bonuses.partner_bonuses(s.bonus_eligible_users, s.bonus_progress, NAMES, EVENT_TIE)
 
 

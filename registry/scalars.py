@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from crewline.functions import bgc, funnel as rules, geo, numbers, shifts as label, text, times
 from crewline.operators import calendars
-from crewline.plans import checks, funnel, partners, shifts, zones
-from registry.core import EVENT_TIE, NAMES, P, check, day, moment
+from crewline.operators.joins import flag_exists
+from crewline.plans import checks, funnel, partners, shifts
+from registry.core import COMPANIES, EVENT_TIE, NAMES, P, check, day, moment
 from registry.relational import _MILES, BASE, BONUS_SQL, MARKET_SQL, ZONE_LIST_SQL, _bonuses, _zones
 from registry.staging import Staged
 
@@ -59,8 +62,6 @@ v_over AS (
 
 @check(OVERRIDE_SQL + "SELECT partner_id, new_code, new_event FROM v_over")
 def override_cohort(s: Staged):
-    from crewline.operators.joins import flag_exists
-
     rows = flag_exists(_coded(s), s.bgc_override, "partner_id", "overridden")
     rows = flag_exists(rows, s.user_certs.where("tag = 'tag_2'"), "partner_id", "cleared")
     code = rules.override_cohort(F.col("cohort"), F.col("overridden"), F.col("cleared"), F.col("work_shifts_sent_next_7d"))
@@ -165,8 +166,6 @@ def interval_math(s: Staged):
     """SELECT event_id, '2024-01-31' AS as_of_date, '2024-01-31 01:00:00.000000' AS as_of_ts, updated_at < TIMESTAMP '2024-01-31 01:00:00' AS earlier FROM stg_background_check"""
 )
 def as_of(s: Staged):
-    from datetime import datetime, timezone
-
     today, now = times.as_of(datetime(2024, 1, 31, 6, tzinfo=timezone.utc), "America/New_York")
     return s.background_checks.select(
         "event_id", F.lit(today).alias("as_of_date"), times.ntz(now).alias("as_of_ts"), (F.col("updated_at") < times.ntz(now)).alias("earlier")
@@ -287,8 +286,6 @@ def is_m1_any(s: Staged):
 
 @check(ZONE_LIST_SQL + "SELECT company, value AS zone, label FROM z_list")
 def zone_label(s: Staged):
-    from registry.core import COMPANIES
-
     lists = [_zones(s, company) for company in [*COMPANIES, "AUTOMOBILE", "HOUSEHOLD"]]
     out = lists[0]
     for other in lists[1:]:

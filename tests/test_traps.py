@@ -3,7 +3,6 @@
 from datetime import date, datetime
 from decimal import Decimal
 
-from pyspark.sql import functions as F
 
 from crewline.operators.counts import sent_kpis, shift_kpis
 from crewline.plans import bonuses, funnel, partners, stores, zones
