@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,8 +27,7 @@ class Code:
     seed: int = 7
 
 
-@lru_cache(maxsize=8)
-def _directions(code: Code, width: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+def directions(code: Code, width: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
     """A random rotation of each table and the code words of each of its parts."""
     random = np.random.Generator(np.random.PCG64([code.seed, width]))
     out = []
@@ -40,14 +38,14 @@ def _directions(code: Code, width: int) -> list[tuple[np.ndarray, list[np.ndarra
     return out
 
 
-def decode(vectors: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
+def decode(vectors: np.ndarray, code: Code, turns=None) -> tuple[np.ndarray, np.ndarray]:
     """Row and number of each filter that a unit vector passes, found part by part.
 
     A list of open prefixes grows by one part at a time; a prefix stays while its sum and the best of the
     parts to come can reach the height.
     """
     rows, filters = [], []
-    for table, (turn, parts) in enumerate(_directions(code, vectors.shape[1])):
+    for table, (turn, parts) in enumerate(turns or directions(code, vectors.shape[1])):
         turned, start, scores = vectors @ turn, 0, []
         for words in parts:
             scores.append(turned[:, start : start + len(words)] @ words)
@@ -73,11 +71,13 @@ def _units(vectors: pd.Series) -> np.ndarray:
 
 def _filtered(code: Code):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turns: dict[int, list] = {}
         for batch in batches:
-            for _, same in batch.groupby(batch["vec"].map(len)):
+            for width, same in batch.groupby(batch["vec"].map(len)):
+                turns[width] = turns.get(width) or directions(code, width)
                 for start in range(0, len(same), 512):
                     part = same.iloc[start : start + 512]
-                    row, number = decode(_units(part["vec"]), code)
+                    row, number = decode(_units(part["vec"]), code, turns[width])
                     order = np.lexsort((number, row))
                     cuts = np.searchsorted(row[order], np.arange(1, len(part)))
                     yield part.assign(filters=np.split(number[order], cuts))
