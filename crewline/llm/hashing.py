@@ -77,3 +77,16 @@ def distinct_sets(grams: np.ndarray, of: np.ndarray, texts: int) -> tuple[np.nda
     fresh[1:] = (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])
     grams, of = grams[fresh], of[fresh]
     return grams, np.searchsorted(of, np.arange(texts + 1))
+
+
+def slices(texts: Sequence[str | None], most: int = 1 << 20):
+    """Ranges of texts of about ``most`` characters together (a longer text comes alone), so that a batch stays small."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        own = len(t) if t is not None else 0
+        if i > start and size + own > most:
+            yield start, i
+            start, size = i, 0
+        size += own
+    if start < len(texts):
+        yield start, len(texts)
