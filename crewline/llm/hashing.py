@@ -32,6 +32,12 @@ def powers(n: int) -> np.ndarray:
 
 def word_hashes(texts: Sequence[str | None], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of each text, and where each text's words begin (one entry more than texts)."""
+    h, bounds, _ = word_and_stem_hashes(texts, (), fold)
+    return h, bounds
+
+
+def word_and_stem_hashes(texts: Sequence[str | None], stems: Sequence[int], fold: bool = True):
+    """As ``word_hashes``, and for each number of bytes in ``stems`` the words that have as many: (word, hash of its beginning)."""
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
     joined = b" ".join(raw) + b" "
     data = np.frombuffer(joined.translate(FOLD if fold else SPACED), dtype=np.uint8)
@@ -40,13 +46,19 @@ def word_hashes(texts: Sequence[str | None], fold: bool = True) -> tuple[np.ndar
     limits = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw]))) if raw else np.zeros(1, np.int64)
     bounds = np.searchsorted(begins, limits)
     if not len(begins):
-        return np.zeros(0, np.uint64), bounds
+        return np.zeros(0, np.uint64), bounds, [(np.zeros(0, np.int64), np.zeros(0, np.uint64)) for _ in stems]
     where = np.flatnonzero(inside)
     first = np.searchsorted(where, begins)
     lengths = np.diff(np.append(first, len(where)))
     place = np.arange(len(where)) - np.repeat(first, lengths)
     scaled = BYTE_KEYS[data[where]] * powers(int(lengths.max()))[place]
-    return mix(np.add.reduceat(scaled, first) + lengths.astype(np.uint64)), bounds
+    starts = []
+    if len(stems):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(scaled)))
+        for n in stems:
+            long = np.flatnonzero(lengths >= n)
+            starts.append((long, mix(sums[first[long] + n] - sums[first[long]] + PLACES[13] * np.uint64(n))))
+    return mix(np.add.reduceat(scaled, first) + lengths.astype(np.uint64)), bounds, starts
 
 
 def gram_hashes(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

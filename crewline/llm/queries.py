@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crewline.llm import capfilters, maxscore
+from crewline.llm import capfilters, linewindows, maxscore, toxicity, trie_join
 from crewline.llm.common import read_table
 
 
@@ -18,9 +18,25 @@ def op3_cap_filter_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return capfilters.near_duplicates(read_table(spark, folder, "embeddings"), threshold=0.93)
 
 
+def op5_line_windows(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read_table(spark, folder, "documents").select("doc_id", "text")
+    return linewindows.line_dedup(documents).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op7_trie_join(spark: SparkSession, folder: str) -> DataFrame:
+    return trie_join.ngram_groups(read_table(spark, folder, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_maxscore_top_k": op1_maxscore_top_k,
     "op3_cap_filter_dedup": op3_cap_filter_dedup,
+    "op5_line_windows": op5_line_windows,
+    "op7_trie_join": op7_trie_join,
+    "op8_toxicity": op8_toxicity,
 }
 
 FINE = "embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"
@@ -52,5 +68,23 @@ WITH RECURSIVE v AS (
 counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN tops ON tops.id = vec_id LEFT JOIN counts ON counts.a = vec_id
+""",
+    # Documents have distinct ids in the given tables.
+    "op5_line_windows": """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents
+), full_lines AS (
+  SELECT doc_id, at, trim(regexp_replace(line, '[\\t\\x0B\\f\\r]+', ' ', 'g'), ' ') AS line FROM lines
+), windows AS (
+  SELECT doc_id, at AS a1, lead(at, 1) OVER w AS a2, lead(at, 2) OVER w AS a3, line AS l1, lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3
+  FROM full_lines WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY at)
+), later AS (
+  SELECT *, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, a1) AS turn FROM windows WHERE a3 IS NOT NULL
+), gone AS (
+  SELECT doc_id, a1 AS at FROM later WHERE turn > 1 UNION SELECT doc_id, a2 FROM later WHERE turn > 1 UNION SELECT doc_id, a3 FROM later WHERE turn > 1
+)
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(gone.at) AS INTEGER) AS n_removed,
+       coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE gone.at IS NULL), '') AS text
+FROM lines LEFT JOIN gone USING (doc_id, at) GROUP BY doc_id
 """,
 }

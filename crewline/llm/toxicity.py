@@ -10,7 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from crewline.llm.hashing import PLACES, mix, slices, word_hashes
+from crewline.llm.hashing import PLACES, mix, slices, word_and_stem_hashes
+
+
+STEMS = (3, 4, 5, 6, 7, 8)
 
 
 @dataclass(frozen=True)
@@ -23,17 +26,25 @@ class Ftrl:
     bits: int = 18
     alpha: float = 0.3
     beta: float = 1.0
-    l1: float = 3.0
+    l1: float = 8.0
     l2: float = 1.0
-    passes: int = 3
+    passes: int = 4
+    # Weight of a row of label 1, the rarer one.
+    positive: float = 2.0
     max_rows: int = 20_000
 
 
 def features(texts: Sequence[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers (repeated ones included) and the text of each: words, pairs, and pairs around one word."""
-    h, bounds = word_hashes(texts)
+    """Feature numbers (repeated ones included) and the text of each: words, their beginnings, pairs, and pairs around one word.
+
+    Beginnings of some bytes stand for the word in its other forms and with other punctuation behind it.
+    """
+    h, bounds, stems = word_and_stem_hashes(texts, STEMS)
     of = np.repeat(np.arange(len(texts)), np.diff(bounds))
     numbers, owners = [mix(h * PLACES[8])], [of]
+    for word, begin in stems:
+        numbers.append(begin)
+        owners.append(of[word])
     for apart, (left, right) in ((1, (PLACES[9], PLACES[10])), (2, (PLACES[11], PLACES[12]))):
         same = np.flatnonzero(of[apart:] == of[:-apart]) if len(of) > apart else np.zeros(0, np.int64)
         numbers.append(mix(h[same] * left + h[same + apart] * right))
@@ -55,6 +66,7 @@ class Learner:
     def learn(self, at: np.ndarray, label: float) -> None:
         w = self.weights(at)
         g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+        g *= self.p.positive if label else 1.0
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.p.alpha * w
         self.n[at] = n + g * g
