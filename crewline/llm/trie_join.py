@@ -19,17 +19,50 @@ class Join:
 
     words: int = 4
     percent: int = 85
-    # n-grams that hold at least one part in so many of all are put last in the global order.
-    frequent: int = 2**17
+    # n-grams, and words, that hold at least one part in so many of all are counted for the global order.
+    frequent: int = 2**19
     # A probe meets its candidates in tries of about so many sets.
     trie: int = 128
     # n-grams of a set that look for a first partner.
     scouts: int = 4
 
 
-def _sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
+@dataclass(frozen=True)
+class Order:
+    """Frequent words with the logarithms of their counts, and frequent n-grams; each ascending by hash."""
+
+    words: np.ndarray
+    weights: np.ndarray
+    grams: np.ndarray
+
+
+def _isin(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Membership in an ascending table."""
+    if not len(table):
+        return np.zeros(len(values), dtype=bool)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return table[at] == values
+
+
+def _sets(texts: list[str | None], words: int, order: Order | None) -> Iterator[np.ndarray]:
+    """Each text's distinct n-grams as ascending numbers whose order is the global one.
+
+    An n-gram's number begins with a bit for a frequent n-gram, then the sum of the weights of its words, then its
+    hash: what is made of rare words comes first, what is known to be frequent last.
+    """
     h, bounds = word_hashes(texts)
-    grams, cuts = distinct_sets(*gram_hashes(h, bounds, words), len(texts))
+    grams, of = gram_hashes(h, bounds, words)
+    if order is not None and len(grams):
+        at = np.minimum(np.searchsorted(order.words, h), len(order.words) - 1) if len(order.words) else np.zeros(len(h), np.int64)
+        weight = np.where(order.words[at] == h, order.weights[at], 0) if len(order.words) else np.zeros(len(h), np.int64)
+        sums = np.append(0, np.cumsum(weight))
+        owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        whole = np.flatnonzero(np.arange(len(h)) + words <= bounds[1:][owner])
+        total = np.zeros(len(grams), np.int64)  # short texts come last among the grams and weigh nothing
+        total[: len(whole)] = sums[whole + words] - sums[whole]
+        late = _isin(grams, order.grams).astype(np.uint64)
+        grams = (late << np.uint64(63)) | (np.minimum(total, 2047).astype(np.uint64) << np.uint64(52)) | (grams >> np.uint64(12))
+    grams, cuts = distinct_sets(grams, of, len(texts))
     for i in range(len(texts)):
         yield grams[cuts[i] : cuts[i + 1]]
 
@@ -37,53 +70,52 @@ def _sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
 def _local_counts(p: Join):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, kept, total = batch["text"].tolist(), [], 0
+            texts, kept, single = batch["text"].tolist(), [], []
             for start, end in slices(texts):
-                kept.extend(_sets(texts[start:end], p.words))
-            grams = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
-            values, counts = np.unique(grams, return_counts=True)
-            some = counts >= 4
-            yield pd.DataFrame({"gram": values[some].view(np.int64), "n": counts[some], "total": np.zeros(int(some.sum()), np.int64)})
-            yield pd.DataFrame({"gram": np.zeros(1, np.int64), "n": np.zeros(1, np.int64), "total": np.full(1, len(grams))})
+                kept.extend(_sets(texts[start:end], p.words, None))
+                single.append(word_hashes(texts[start:end])[0])
+            for kind, parts in (("gram", kept), ("word", single)):
+                every = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+                values, counts = np.unique(every, return_counts=True)
+                some = counts >= 4
+                out = pd.DataFrame({"hash": np.append(values[some].view(np.int64), 0), "n": np.append(counts[some], 0)})
+                yield out.assign(kind=kind, total=np.append(np.zeros(int(some.sum()), np.int64), len(every)))
 
     return run
 
 
-def frequent_grams(documents: DataFrame, p: Join) -> np.ndarray:
-    """n-grams to be put last. At most ``p.frequent`` can hold one part in ``p.frequent`` of all, which bounds the list.
+def global_order(documents: DataFrame, p: Join) -> Order:
+    """Frequent words and n-grams. At most ``p.frequent`` of each can hold one part in ``p.frequent`` of all, which bounds the lists.
 
     Counts come from batches of rows and leave out what is rare in a batch. They only set the order, and the join
     is exact in any order.
     """
-    counts = materialize(documents.select("text").mapInPandas(_local_counts(p), "gram long, n long, total long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
-    total = counts.agg(F.sum("total")).first()[0] or 0
-    rows = counts.where(F.col("n") >= max(16, total // p.frequent)).select("gram").collect()
-    return np.sort(np.array([r["gram"] for r in rows], np.int64).view(np.uint64))
-
-
-def _isin(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Membership in an ascending table."""
-    if not len(table):
-        return np.zeros(len(values), dtype=bool)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return table[at] == values
+    counted = documents.select("text").mapInPandas(_local_counts(p), "hash long, n long, kind string, total long")
+    counts = materialize(counted.groupBy("kind", "hash").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    found = {}
+    for kind, least in (("gram", 16), ("word", 2)):
+        own = counts.where(F.col("kind") == kind)
+        total = own.agg(F.sum("total")).first()[0] or 0
+        rows = own.where(F.col("n") >= max(least, -(-total // p.frequent))).select("hash", "n").toPandas()
+        rows = rows.assign(hash=rows["hash"].to_numpy(np.int64).view(np.uint64)).sort_values("hash")
+        found[kind] = (rows["hash"].to_numpy(np.uint64), rows["n"].to_numpy(np.float64))
+    weights = np.round(16 * np.log2(found["word"][1])).astype(np.int64) if len(found["word"][1]) else np.zeros(0, np.int64)
+    return Order(found["word"][0], weights, found["gram"][0])
 
 
 def _described(p: Join, shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = shared.value
         for batch in batches:
             texts = batch["text"].tolist()
             for start, end in slices(texts):
                 sizes, sums, marks, prefixes = [], [], [], []
-                for own in _sets(texts[start:end], p.words):
-                    n, late = len(own), _isin(own, last)
-                    ordered = np.concatenate((own[~late], own[late]))
+                for own in _sets(texts[start:end], p.words, shared.value):
+                    n = len(own)
                     sizes.append(n)
                     sums.append(np.add.reduce(mix(own)))
                     marks.append(np.bitwise_xor.reduce(mix(own * np.uint64(3))))
                     # A partner holds at least ceil(percent * n) of the set, so one of the first n - that + 1.
-                    prefixes.append(ordered[: n + (-p.percent * n // 100) + 1 if n else 0].view(np.int64))
+                    prefixes.append(own[: n + (-p.percent * n // 100) + 1 if n else 0].view(np.int64))
                 out = pd.DataFrame({"doc_id": batch["doc_id"].iloc[start:end].to_numpy()})
                 out["n"] = np.array(sizes, np.int64)
                 out["f1"], out["f2"] = np.array(sums, np.uint64).view(np.int64), np.array(marks, np.uint64).view(np.int64)
@@ -93,16 +125,17 @@ def _described(p: Join, shared):
     return run
 
 
-def _traverse(probe: np.ndarray, sets: list[np.ndarray], ids: list[int], p: Join) -> list[int]:
-    """Ids of the sets that link with the probe.
+def _traverse(probe: np.ndarray, n: int, sets: list[np.ndarray], sizes: list[int], ids: list[int], p: Join) -> list[int]:
+    """Ids of the sets that can link with the probe, as far as the members given tell; of whole sets, those that do.
 
-    The sets, in lexicographic order, are the paths of a trie: neighbours share the nodes of their common beginning, and so
-    the count of unmatched members up to there. A node whose unmatched members exceed what the longest set could
-    afford is pruned with everything below it.
+    ``probe`` and ``sets`` are whole sets or prefixes of them in the global order, ``n`` and ``sizes`` the sizes of the whole
+    sets. The sets, in lexicographic order, are the paths of a trie: neighbours share the nodes of their common
+    beginning, and so the count of unmatched members up to there. A node with more unmatched members than the longest
+    set could afford is pruned with everything below it.
     """
-    n = len(probe)
-    need = [-(-p.percent * (n + len(s)) // (100 + p.percent)) for s in sets]
-    most = max(len(s) - k for s, k in zip(sets, need))
+    need = [-(-p.percent * (n + m) // (100 + p.percent)) for m in sizes]
+    most = max(m - k for m, k in zip(sizes, need))
+    last = probe[-1] if len(probe) else np.uint64(0)
     order = sorted(range(len(sets)), key=lambda i: sets[i].byteswap().tobytes())
     found, path, unmatched, pruned = [], np.zeros(0, np.uint64), np.zeros(0, np.int64), None
     for i in order:
@@ -114,37 +147,54 @@ def _traverse(probe: np.ndarray, sets: list[np.ndarray], ids: list[int], p: Join
             continue  # below a pruned node
         rest = own[common:]
         before = unmatched[common - 1] if common else 0
-        fresh = before + np.cumsum(~_isin(rest, probe))
-        path, unmatched = own, np.concatenate((unmatched[:common], fresh))
+        whole = len(probe) == n
+        # Beyond the end of the probe's prefix nothing is known.
+        missing = ~_isin(rest, probe) if whole else ~_isin(rest, probe) & (rest <= last)
+        path, unmatched = own, np.concatenate((unmatched[:common], before + np.cumsum(missing)))
         over = np.flatnonzero(unmatched > most)
         pruned = int(over[0]) if len(over) else None
-        if pruned is None and len(own) - (unmatched[-1] if len(own) else 0) >= need[i]:
-            found.append(ids[i])
+        if pruned is None and len(own):
+            seen = own if whole else own[own <= last]
+            mine = probe if len(own) == sizes[i] else probe[probe <= own[-1]]
+            shared = len(seen) - int(unmatched[-1])
+            if shared + min(n - len(mine), sizes[i] - len(seen)) >= need[i]:
+                found.append(ids[i])
     return found
 
 
-def _verified(p: Join):
+def _probed(p: Join, shared):
+    """Probes and candidates in order of probe, trie and role: first the probe itself, then its candidates.
+
+    Their members are prefixes, or whole sets made of the texts when ``shared``, the global order, is given.
+    """
+
+    def members(batch: pd.DataFrame) -> Iterator[np.ndarray]:
+        if shared is None:
+            yield from (np.asarray(x, np.int64).view(np.uint64) for x in batch["body"])
+            return
+        texts = batch["body"].tolist()
+        for start, end in slices(texts):
+            yield from _sets(texts[start:end], p.words, shared.value)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows lie in order of probe, trie and role: first the probe itself, then its candidates."""
-        key, probe, sets, ids = None, None, [], []
+        key, probe, n, sets, sizes, ids = None, None, 0, [], [], []
 
         def close():
-            hits = _traverse(probe, sets, ids, p) if sets and probe is not None else []
+            hits = _traverse(probe, n, sets, sizes, ids, p) if sets and probe is not None else []
             return pd.DataFrame({"a": np.full(len(hits), key[0] if key else 0, np.int64), "b": np.array(hits, np.int64)})
 
         for batch in batches:
-            texts, out = batch["text"].tolist(), []
-            for start, end in slices(texts):
-                part = batch.iloc[start:end]
-                for a, t, role, own_id, own in zip(part["a"], part["trie"], part["role"], part["id"], _sets(texts[start:end], p.words)):
-                    if (a, t) != key:
-                        out.append(close())
-                        key, probe, sets, ids = (a, t), None, [], []
-                    if role == 0:
-                        probe = own
-                    else:
-                        sets.append(own)
-                        ids.append(own_id)
+            out = []
+            for a, t, role, own_id, size, own in zip(batch["a"], batch["trie"], batch["role"], batch["id"], batch["n"], members(batch)):
+                if (a, t) != key:
+                    out.append(close())
+                    key, probe, sets, sizes, ids = (a, t), None, [], [], []
+                if role == 0:
+                    probe, n = own, size
+                else:
+                    sets.append(own)
+                    sizes.append(size)
+                    ids.append(own_id)
             if out:
                 yield pd.concat(out, ignore_index=True)
         yield close()
@@ -152,17 +202,23 @@ def _verified(p: Join):
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, p: Join) -> DataFrame:
-    """The pairs ``a, b`` whose sets link. ``texts`` has ``id, text``."""
-    pairs = materialize(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialize(texts.join(wanted, "id", "left_semi"))
+def probe_tries(pairs: DataFrame, bodies: DataFrame, p: Join, shared=None) -> DataFrame:
+    """The pairs ``a, b`` that pass ``_traverse``. ``bodies`` has ``id, n, body``; a probe with many candidates gets several tries."""
     tries = pairs.groupBy("a").agg(F.ceil(F.count("*") / p.trie).cast("int").alias("tries"))
     members = pairs.join(tries, "a").select("a", F.pmod(F.xxhash64("b"), F.col("tries").cast("long")).cast("int").alias("trie"), F.lit(1).alias("role"), F.col("b").alias("id"))
     probes = tries.select("a", F.explode(F.sequence(F.lit(0), F.col("tries") - 1)).alias("trie"), F.lit(0).alias("role"), F.col("a").alias("id"))
-    rows = members.unionByName(probes).join(texts, "id")
-    dealt = rows.select("a", "trie", "role", "id", "text").repartition("a", "trie").sortWithinPartitions("a", "trie", "role")
-    return materialize(dealt.mapInPandas(_verified(p), "a long, b long"))
+    rows = members.unionByName(probes).join(bodies, "id")
+    dealt = rows.select("a", "trie", "role", "id", "n", "body").repartition("a", "trie").sortWithinPartitions("a", "trie", "role")
+    return materialize(dealt.mapInPandas(_probed(p, shared), "a long, b long"))
+
+
+def verify(pairs: DataFrame, reps: DataFrame, documents: DataFrame, p: Join, shared) -> DataFrame:
+    """The pairs whose sets link: prefixes sort out nearly all others, then whole sets decide."""
+    likely = probe_tries(materialize(pairs), reps.select("id", "n", F.col("prefix").alias("body")), p)
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body")).where("id IS NOT NULL")
+    texts = materialize(texts.join(wanted, "id", "left_semi").join(reps.select("id", "n"), "id"))
+    return probe_tries(likely, texts, p, shared)
 
 
 def ngram_groups(documents: DataFrame, p: Join = Join()) -> DataFrame:
@@ -171,31 +227,30 @@ def ngram_groups(documents: DataFrame, p: Join = Join()) -> DataFrame:
     Words are runs without white space, A-Z lower-cased; a text with fewer words than an n-gram counts as one
     n-gram; a text without words (or null) has an empty set and links with nothing. Equal sets are folded first.
 
-    Sets are in one global order: n-grams by hash, very frequent ones last. Two sets that link share an n-gram of
-    their prefixes. First every set looks for a partner with its first few n-grams only: of the sets of about
+    Sets are in one global order: n-grams of rare words first, frequent n-grams last. Two sets that link share an
+    n-gram of their prefixes. First every set looks for a partner with its first few n-grams only: of the sets of about
     its size that share one, it meets the one with the smallest id. What links so is a group. Then all prefixes are
     compared, but only across groups, so a large group of near copies does not grow into all its pairs, and
-    no link between groups is lost. Candidates are verified on whole sets in tries (see ``_traverse``).
+    no link between groups is lost. Candidates meet in tries, of prefixes and then of whole sets (see ``_traverse``).
 
     Rows with a null ``doc_id`` link with nothing and have a null component. Rows that share a ``doc_id`` are
     grouped by their own texts. Repeated rows stay; other columns play no part; an empty table gives no rows.
     """
-    last = documents.sparkSession.sparkContext.broadcast(frequent_grams(documents, p))
+    shared = documents.sparkSession.sparkContext.broadcast(global_order(documents, p))
     schema = "doc_id long, n long, f1 long, f2 long, prefix array<long>"
-    sets = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_described(p, last), schema))
+    sets = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_described(p, shared), schema))
     same = ["n", "f1", "f2"]
     folded = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"))
     named = materialize(sets.where("n > 0 AND doc_id IS NOT NULL").join(folded, same).select("doc_id", *same, "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("prefix")).alias("prefix")))
     # One row for each set; of rows that repeat a document any will do, as their sets are equal.
     reps = named.where("prefix IS NOT NULL").dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "n", *same[1:], "prefix")
     reps = materialize(reps)
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL")
 
     band = F.floor(F.log("n") / float(-np.log(p.percent / 100))).cast("int").alias("band")
     scouts = reps.select("id", band, F.explode(F.slice("prefix", 1, p.scouts)).alias("gram"))
     heads = scouts.groupBy("gram", "band").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
     stars = scouts.join(heads, ["gram", "band"]).where("id != a").select("a", F.col("id").alias("b")).distinct()
-    first = verify(stars, texts, p)
+    first = verify(stars, reps, documents, p, shared)
     near = components(first)
 
     posts = reps.join(near, "id", "left").select(
@@ -211,7 +266,7 @@ def ngram_groups(documents: DataFrame, p: Join = Join()) -> DataFrame:
     # The smaller set (then the smaller id) is the probe.
     ordered = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
     met = a.join(b, "gram").where((F.col("a_grp") != F.col("b_grp")) & alike & reaches & ordered)
-    second = verify(met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct(), texts, p)
+    second = verify(met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct(), reps, documents, p, shared)
 
     groups = components(first.unionByName(second))
     verdicts = named.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
