@@ -80,7 +80,7 @@ def _filtered(code: Code):
                     row, number = decode(_units(part["vec"]), code, turns[width])
                     order = np.lexsort((number, row))
                     cuts = np.searchsorted(row[order], np.arange(1, len(part)))
-                    yield part.assign(filters=np.split(number[order], cuts))
+                    yield part.assign(filters=pd.Series(np.split(number[order], cuts), index=part.index, dtype=object))
 
     return run
 

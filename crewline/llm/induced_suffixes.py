@@ -106,7 +106,7 @@ def _survivors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = np.argsort(doc, kind="stable")
         doc, first = doc[order], first[order]
         cuts = np.flatnonzero(np.diff(doc)) + 1
-        return pd.DataFrame({"doc_id": doc[np.append(0, cuts)] if len(doc) else doc, "firsts": np.split(first, cuts) if len(doc) else []})
+        return pd.DataFrame({"doc_id": doc[np.append(0, cuts)] if len(doc) else doc, "firsts": pd.Series(np.split(first, cuts) if len(doc) else [], dtype=object)})
 
     def close(rows):
         key, doc, first = (np.frombuffer(b"".join(r[i] for r in rows), kind) for i, kind in ((0, np.uint64), (1, np.int64), (2, np.int32)))

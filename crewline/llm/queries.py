@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crewline.llm import capfilters, linewindows, maxscore, toxicity, trie_join
+from crewline.llm import capfilters, induced_suffixes, linewindows, maxscore, recurrent_lm, toxicity, trie_join
 from crewline.llm.common import read_table
 
 
@@ -31,12 +31,23 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
 
+def op9_recurrent_lm(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return recurrent_lm.score_documents(read_table(spark, folder, "documents"), held_out)
+
+
+def op10_induced_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return induced_suffixes.remove_repeats(read_table(spark, folder, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_maxscore_top_k": op1_maxscore_top_k,
     "op3_cap_filter_dedup": op3_cap_filter_dedup,
     "op5_line_windows": op5_line_windows,
     "op7_trie_join": op7_trie_join,
     "op8_toxicity": op8_toxicity,
+    "op9_recurrent_lm": op9_recurrent_lm,
+    "op10_induced_suffixes": op10_induced_suffixes,
 }
 
 FINE = "embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"

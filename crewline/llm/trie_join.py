@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pandas as pd
@@ -109,7 +109,7 @@ def _described(p: Join, shared):
             texts = batch["text"].tolist()
             for start, end in slices(texts):
                 sizes, sums, marks, prefixes = [], [], [], []
-                for own in _sets(texts[start:end], p.words, shared.value):
+                for own in _sets(texts[start:end], p.words, Order(*shared.value)):
                     n = len(own)
                     sizes.append(n)
                     sums.append(np.add.reduce(mix(own)))
@@ -119,7 +119,7 @@ def _described(p: Join, shared):
                 out = pd.DataFrame({"doc_id": batch["doc_id"].iloc[start:end].to_numpy()})
                 out["n"] = np.array(sizes, np.int64)
                 out["f1"], out["f2"] = np.array(sums, np.uint64).view(np.int64), np.array(marks, np.uint64).view(np.int64)
-                out["prefix"] = prefixes
+                out["prefix"] = pd.Series(prefixes, dtype=object)
                 yield out
 
     return run
@@ -174,7 +174,7 @@ def _probed(p: Join, shared):
             return
         texts = batch["body"].tolist()
         for start, end in slices(texts):
-            yield from _sets(texts[start:end], p.words, shared.value)
+            yield from _sets(texts[start:end], p.words, Order(*shared.value))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, probe, n, sets, sizes, ids = None, None, 0, [], [], []
@@ -236,7 +236,7 @@ def ngram_groups(documents: DataFrame, p: Join = Join()) -> DataFrame:
     Rows with a null ``doc_id`` link with nothing and have a null component. Rows that share a ``doc_id`` are
     grouped by their own texts. Repeated rows stay; other columns play no part; an empty table gives no rows.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(global_order(documents, p))
+    shared = documents.sparkSession.sparkContext.broadcast(astuple(global_order(documents, p)))
     schema = "doc_id long, n long, f1 long, f2 long, prefix array<long>"
     sets = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_described(p, shared), schema))
     same = ["n", "f1", "f2"]
