@@ -156,8 +156,8 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class Spool:
     """A queue for each letter: what is appended in order comes out in order. Beyond ``limit`` items it lies on disk."""
 
-    def __init__(self, folder: str, limit: int):
-        self.folder, self.limit = tempfile.mkdtemp(dir=folder), limit
+    def __init__(self, folder: str, limit: int, kind=np.int32):
+        self.folder, self.limit, self.kind = tempfile.mkdtemp(dir=folder), limit, kind
         self.held: dict[int, list[np.ndarray]] = {}
         self.size = 0
 
@@ -167,7 +167,7 @@ class Spool:
         if self.size > self.limit:
             for c, parts in self.held.items():
                 with open(f"{self.folder}/{c}", "ab") as file:
-                    np.concatenate(parts).astype(np.int64).tofile(file)
+                    np.concatenate(parts).astype(self.kind).tofile(file)
             self.held, self.size = {}, 0
 
     def spread(self, items: np.ndarray, letters: np.ndarray) -> None:
@@ -184,9 +184,9 @@ class Spool:
         self.size -= sum(map(len, parts))
         path = f"{self.folder}/{letter}"
         if os.path.exists(path):
-            parts.insert(0, np.fromfile(path, np.int64))
+            parts.insert(0, np.fromfile(path, self.kind))
             os.remove(path)
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return np.concatenate(parts) if parts else np.zeros(0, self.kind)
 
 
 def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, folder: str, limit: int) -> np.ndarray:
@@ -198,7 +198,8 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, folder: str,
     letters = int(text.max()) + 1
     first = text[seeds]
     bounds = np.searchsorted(first, np.arange(letters + 1))
-    queue, large = Spool(folder, limit), Spool(folder, limit)
+    kind = seeds.dtype
+    queue, large = Spool(folder, limit, kind), Spool(folder, limit, kind)
     for c in range(letters):
         batch = queue.take(c)
         while len(batch):
@@ -211,7 +212,7 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, folder: str,
         left = seeds[bounds[c] : bounds[c + 1]]
         left = left[left > 0] - 1
         queue.spread(left, text[left])
-    queue, out = Spool(folder, limit), []
+    queue, out = Spool(folder, limit, kind), []
     for c in range(letters - 1, -1, -1):
         batch, own = queue.take(c), []
         while len(batch):
@@ -226,7 +227,7 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, folder: str,
         left = left[small[left]]
         queue.spread(left, text[left])
         if c == 0:
-            own = [np.array([len(text) - 1])]  # the end mark
+            own = [np.array([len(text) - 1], kind)]  # the end mark
         out.extend(own)
         out.append(down)
     return np.concatenate(out)[::-1]
@@ -256,12 +257,13 @@ def suffix_order(text: np.ndarray, folder: str, limit: int = 1 << 24) -> np.ndar
     there all other suffixes are induced.
     """
     n = len(text)
-    step = np.sign(np.diff(text.astype(np.int64)))
+    kind = np.int32 if n < 2**31 else np.int64
+    step = np.sign(np.diff(text.astype(np.int16)))
     change = np.flatnonzero(step)
     # A letter equal to its right neighbour takes the neighbour's kind.
-    following = np.searchsorted(change, np.arange(n - 1))
-    small = np.append(step[change[np.minimum(following, len(change) - 1)]] > 0, True) if len(change) else np.ones(n, bool)
-    left = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    spans = np.diff(np.append(-1, change))
+    small = np.append(np.repeat(step[change] > 0, spans), True)  # the last letter differs from all others
+    left = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(kind)
     if not len(left):
         return np.arange(n)[::-1]
     rough = left[np.argsort(text[left], kind="stable")]
@@ -272,7 +274,7 @@ def suffix_order(text: np.ndarray, folder: str, limit: int = 1 << 24) -> np.ndar
     ends = np.zeros(n, np.int64)
     ends[left] = np.append(left[1:], n - 1)
     rank = np.zeros(n, np.int64)
-    rank[pieces] = _names(text, pieces, ends)
+    rank[pieces] = _names(text, pieces.astype(np.int64), ends)
     name, span = rank[left] + 1, 1
     while name.max() < len(left):
         ahead = np.append(name[span:], np.zeros(min(span, len(name)), np.int64))[: len(name)]
@@ -336,16 +338,23 @@ def _sorted_shards(size: int):
         """Rows come in order of hash; a shard is cut between hashes once it holds ``size`` bytes."""
         held, bytes_held = [], 0
 
+        def whole(rows):
+            return pd.DataFrame({"doc_id": rows["doc_id"], "begin": rows["first"], "end": rows["first"] + rows["windows"] + LENGTH - 1})
+
         def close(rows):
+            # Of equal contexts only the earliest is sorted; the others are repeats as a whole.
+            rows = rows.sort_values(["doc_id", "first"], kind="stable").drop_duplicates(["doc_id", "first", "context"])
+            known = rows.duplicated("context")
+            spans, rows = whole(rows[known]), rows[~known]
             with tempfile.TemporaryDirectory() as folder:
                 found = _repeats(*[rows[c].to_numpy(np.int64) for c in ("doc_id", "first", "windows")], rows["context"].tolist(), folder)
-            return pd.DataFrame(dict(zip(("doc_id", "begin", "end"), found)))
+            return pd.concat((spans, pd.DataFrame(dict(zip(("doc_id", "begin", "end"), found)))))
 
         for batch in batches:
             known = batch["context"].isna()
             sure = batch[known]
             if len(sure):
-                yield pd.DataFrame({"doc_id": sure["doc_id"], "begin": sure["first"], "end": sure["first"] + sure["windows"] + LENGTH - 1})
+                yield whole(sure)
             rows = batch[~known]
             while len(rows):
                 lengths = np.cumsum(rows["context"].map(len).to_numpy())
@@ -396,7 +405,7 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
 
 
-def repeated_spans(documents: DataFrame, shard: int = 8 << 20) -> DataFrame:
+def repeated_spans(documents: DataFrame, shard: int = 2 << 20) -> DataFrame:
     """``doc_id, begin, end``: bytes covered by strings of 100 bytes that also start earlier. Spans of a document may overlap.
 
     1. Each window of 100 bytes has an anchor; only anchors whose hash is there twice can belong to a repeat.
