@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crewline.llm import capfilters, induced_suffixes, linewindows, maxscore, recurrent_lm, toxicity, trie_join
+from crewline.llm import capfilters, induced_suffixes, linewindows, maxscore, mixing, recurrent_lm, sentencepiece_lattice, toxicity, trie_join
 from crewline.llm.common import read_table
 
 
@@ -18,11 +18,23 @@ def op3_cap_filter_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return capfilters.near_duplicates(read_table(spark, folder, "embeddings"), threshold=0.93)
 
 
+def op4_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read_table(spark, folder, "documents").select("doc_id", "text", "lang")
+    labelled = mixing.language_and_quality(documents, read_table(spark, folder, "labels"))
+    return mixing.mixed(documents.drop("lang"), labelled, mixing.TARGETS).drop("text")
+
+
 def op5_line_windows(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents").select("doc_id", "text")
     return linewindows.line_dedup(documents).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op6_sentencepiece_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = sentencepiece_lattice.Pieces(sentencepiece_lattice.model_path())
+    coded = sentencepiece_lattice.encode(read_table(spark, folder, "documents"), pieces)
+    return coded.select("doc_id", F.size("ids").alias("n_pieces"), "ids", F.col("exact").alias("round_trip"))
+
+
 def op7_trie_join(spark: SparkSession, folder: str) -> DataFrame:
     return trie_join.ngram_groups(read_table(spark, folder, "documents"))
 
@@ -43,7 +55,9 @@ def op10_induced_suffixes(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_maxscore_top_k": op1_maxscore_top_k,
     "op3_cap_filter_dedup": op3_cap_filter_dedup,
+    "op4_soft_mixing": op4_soft_mixing,
     "op5_line_windows": op5_line_windows,
+    "op6_sentencepiece_lattice": op6_sentencepiece_lattice,
     "op7_trie_join": op7_trie_join,
     "op8_toxicity": op8_toxicity,
     "op9_recurrent_lm": op9_recurrent_lm,

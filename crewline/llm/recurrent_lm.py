@@ -40,11 +40,11 @@ def _kinds(texts: list[str | None]) -> np.ndarray:
     inside = data != 0x20
     begins = np.flatnonzero(inside & ~np.append(False, inside[:-1]))
     if not len(begins):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int8)
     ends = np.flatnonzero(inside & ~np.append(inside[1:], False))
     last, wide = data[ends], np.maximum.reduceat(data, begins) >= 0x80
     plain = ((last >= 0x30) & (last <= 0x39)) | ((last >= 0x61) & (last <= 0x7A)) | (last >= 0x80)
-    return wide.astype(np.int64) * 2 + plain
+    return wide.astype(np.int8) * np.int8(2) + plain
 
 
 def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,7 +53,7 @@ def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         h, bounds = word_hashes(texts[start:end])
         parts.append((h, _kinds(texts[start:end]), np.diff(bounds)))
     if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int64)
     return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
 
 
@@ -61,7 +61,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         h, kind, _ = _words(batch["text"].tolist())
         values, first, counts = np.unique(h, return_index=True, return_counts=True)
-        yield pd.DataFrame({"hash": values.view(np.int64), "kind": kind[first], "n": counts})
+        yield pd.DataFrame({"hash": values.view(np.int64), "kind": kind[first].astype(np.int64), "n": counts})
 
 
 def count_words(training: DataFrame) -> DataFrame:
@@ -122,10 +122,11 @@ class Vocabulary:
     def look_up(self, h: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Input number of each word, and its place in the list or -1."""
         if not len(self.hashes):
-            return self.words + len(self.bands) + kind, np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            return (self.words + len(self.bands) + kind).astype(np.int32), np.full(len(h), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1).astype(np.int32)
         known = self.hashes[at] == h
-        return np.where(known, self.code[at], self.words + len(self.bands) + kind), np.where(known, at, -1)
+        rare = np.int32(self.words + len(self.bands)) + kind
+        return np.where(known, self.code[at].astype(np.int32), rare), np.where(known, at, np.int32(-1))
 
     def class_of(self, code: np.ndarray) -> np.ndarray:
         return np.where(code < self.words, self.class_of_word[np.minimum(code, self.words - 1)], code - self.words + self.heads)
@@ -154,7 +155,8 @@ def _steps(w: dict, codes: np.ndarray, active: np.ndarray, h: np.ndarray, keep:
         before[t] = h
         own = h[:n]
         a, b = w["gates"][codes[t, :n]], own @ w["back"]
-        z, r = _sigmoid(a[:, :size] + b[:, :size]), _sigmoid(a[:, size : 2 * size] + b[:, size : 2 * size])
+        open_gates = _sigmoid(a[:, : 2 * size] + b[:, : 2 * size])
+        z, r = open_gates[:, :size], open_gates[:, size:]
         c = np.tanh(a[:, 2 * size :] + r * b[:, 2 * size :])
         if keep is not None:
             keep.append((z, r, c, b[:, 2 * size :]))
@@ -328,7 +330,7 @@ def _scored(shared, weights: bytes, p: Model):
             h, kind, sizes = _words(batch["text"].tolist())
             codes, listed = v.look_up(h, kind)
             offsets = np.cumsum(sizes) - sizes
-            of = np.repeat(np.arange(len(sizes)), sizes)
+            of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
             known = listed >= 0
             static, ones = np.zeros(len(h)), np.zeros(len(h))
             static[known] = v.static[listed[known]]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SPACE = "▁"
@@ -31,6 +34,13 @@ class Pieces:
         self.rows = [(model.id_to_piece(i), i, float(model.get_score(i))) for i in own]
         self.longest = max(len(text) for text, _, _ in self.rows)
         self.unknown = min(score for _, _, score in self.rows) - 10.0
+        solid = lambda c: unicodedata.category(c)[0] in "LN"
+        crossing = {b for text, _, _ in self.rows for a, b in zip(text, text[1:]) if solid(a) and not solid(b)} - {SPACE}
+        # No piece crosses a line end, a blank behind a run, or the border of a letter and a sign, but for these signs.
+        border = f"(?<=[\\p{{L}}\\p{{N}}])(?=[^\\p{{L}}\\p{{N}}{SPACE}\\n{''.join(re.escape(c) for c in sorted(crossing))}])"
+        self.stretch = f"{SPACE}*[^{SPACE}\\n]+?(?:{border}|(?=[{SPACE}\\n])|$)|{SPACE}*\\n|{SPACE}+"
+        if any("\n" in text or SPACE in text.lstrip(SPACE) for text, _, _ in self.rows):
+            raise ValueError("a piece crosses a line end or a blank")
         spelled = {i: text.encode() for text, i, _ in self.rows} | {i: bytes([b]) for b, i in self.bytes.items()}
         self.hex = [spelled.get(i, b"").hex() for i in every]
 
@@ -47,10 +57,10 @@ class Pieces:
         )
 
 
-def _words(text: Column) -> Column:
-    """A text in stretches that no piece crosses: blanks with the run behind them, or up to a line end. A blank is put in front."""
+def _words(text: Column, pieces: Pieces) -> Column:
+    """A text in stretches that no piece crosses: blanks with what follows them, to a border or a line end. A blank is put in front."""
     marked = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
-    found = F.regexp_extract_all(marked, F.lit(f"{SPACE}*[^{SPACE}\\n]+|{SPACE}*\\n|{SPACE}+"), F.lit(0))
+    found = F.regexp_extract_all(marked, F.lit(pieces.stretch), F.lit(0))
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(found)
 
 
@@ -81,7 +91,7 @@ def _ids(word: Column, seen: Column, pieces: Pieces) -> Column:
 
 
 def encode(documents: DataFrame, pieces: Pieces, text: str = "text", parts: int | None = None) -> DataFrame:
-    """``documents`` without other columns than ``doc_id`` and the text, and with ``ids``, the piece ids of each whole text.
+    """``doc_id, ids, exact``: the piece ids of each whole text of ``documents``, and whether they decode to it.
 
     Blanks are written as U+2581, one is put in front, nothing else is normalised. The segmentation is the path of
     the highest sum of piece scores (ties: the longer last piece); characters outside the pieces fall back to bytes.
@@ -98,21 +108,17 @@ def encode(documents: DataFrame, pieces: Pieces, text: str = "text", parts: int
     numbered = documents.select("doc_id", F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     bucket = F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
     dealt = numbered.withColumn("part", bucket).repartition(parts, "part")
-    occurrences = dealt.select("part", "row", F.posexplode(_words(F.col("text"))).alias("at", "word"))
-    words = occurrences.groupBy("part", "word").agg(F.collect_list(F.struct("row", "at")).alias("places"))
-    n = F.length("word")
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - s)), lambda k: F.struct(s.alias("start"), k.alias("len"))),
-        )
+    occurrences = dealt.select("part", "row", "doc_id", F.posexplode(_words(F.col("text"), pieces)).alias("at", "word"))
+    words = occurrences.groupBy("part", "word").agg(F.collect_list(F.struct("row", "doc_id", "at")).alias("places"))
+    # The occurrences travel with the first start, and there with the first length only.
+    starts = words.select("part", "word", "places", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    starts = starts.withColumn("places", F.when(F.col("start") == 0, F.col("places")))
+    spread = starts.select(
+        "part", "word", "places", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("word") - F.col("start")))).alias("len")
     )
-    # The occurrences travel with the first substring only.
-    spread = words.select("part", "word", F.when(F.lit(True), F.col("places")).alias("places"), F.explode(spans).alias("span"))
-    first = (F.col("span.start") == 0) & (F.col("span.len") == 1)
     spread = spread.select(
-        "part", "word", F.when(first, F.col("places")).alias("places"), "span.start", "span.len",
-        F.substring("word", F.col("span.start") + 1, F.col("span.len")).alias("piece"),
+        "part", "word", F.when(F.col("len") == 1, F.col("places")).alias("places"), "start", "len",
+        F.substring("word", F.col("start") + 1, F.col("len")).alias("piece"),
     )
     table = F.broadcast(pieces.table(spark))
     edges = spread.join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
@@ -121,14 +127,22 @@ def encode(documents: DataFrame, pieces: Pieces, text: str = "text", parts: int
     )
     lattice = edges.groupBy("part", "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first("places", True).alias("places"))
     paths = lattice.select("part", "word", "places", _best_path(F.col("edges")).alias("seen"))
-    coded = paths.select("part", "places", _ids(F.col("word"), F.col("seen"), pieces).alias("own"))
-    back = coded.select("part", F.explode("places").alias("place"), "own").select("part", "place.row", "place.at", "own")
-    texts = back.groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("at", "own"))).alias("words"))
-    return texts.select("row", F.flatten(F.transform("words", lambda w: w["own"])).alias("ids"))
+    coded = paths.select("part", "word", "places", _ids(F.col("word"), F.col("seen"), pieces).alias("own"))
+    # Each word is decoded once; the text is its words one after another.
+    coded = coded.select("part", "places", "own", (_spelled(F.col("own"), pieces) == F.col("word")).alias("same"))
+    back = coded.select("part", F.explode("places").alias("place"), "own", "same").select("part", "place.*", "own", "same")
+    texts = back.groupBy("part", "row").agg(
+        F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("at", "own"))).alias("words"), F.bool_and("same").alias("exact")
+    )
+    empty = documents.where(F.coalesce(F.col(text), F.lit("")) == "").select("doc_id", F.array().cast("array<int>").alias("ids"), F.lit(True).alias("exact"))
+    return texts.select("doc_id", F.flatten(F.transform("words", lambda w: w["own"])).alias("ids"), "exact").unionByName(empty)
+
+
+def _spelled(ids: Column, pieces: Pieces) -> Column:
+    return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(F.lit(pieces.hex), i)), "")), "UTF-8")
 
 
 def decode(ids: Column, pieces: Pieces) -> Column:
     """The text of piece ids: pieces and bytes are put together and read as UTF-8, U+2581 becomes a blank, the one in front goes."""
-    spelled = F.transform(ids, lambda i: F.get(F.lit(pieces.hex), i))
-    joined = F.replace(F.decode(F.unhex(F.array_join(spelled, "")), "UTF-8"), F.lit(SPACE), F.lit(" "))
+    joined = F.replace(_spelled(ids, pieces), F.lit(SPACE), F.lit(" "))
     return F.substring(joined, F.lit(2), F.greatest(F.length(joined) - 1, F.lit(0)))
