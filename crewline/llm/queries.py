@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crewline.llm import capfilters, induced_suffixes, linewindows, maxscore, mixing, recurrent_lm, sentencepiece_lattice, toxicity, trie_join
+import corpus_pipeline
+from crewline.llm import capfilters, induced_suffixes, linewindows, maxscore, mixing, recurrent_lm, sentencepiece_lattice, templates, toxicity, trie_join
 from crewline.llm.common import read_table
 
 
@@ -14,6 +15,10 @@ def op1_maxscore_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return maxscore.top_k_embeddings(read_table(spark, folder, "embeddings"), every=50, k=5, scale=256)
 
 
+def op2_template_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.extract(read_table(spark, folder, "pages"))
+
+
 def op3_cap_filter_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return capfilters.near_duplicates(read_table(spark, folder, "embeddings"), threshold=0.93)
 
@@ -54,6 +59,7 @@ def op10_induced_suffixes(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_maxscore_top_k": op1_maxscore_top_k,
+    "op2_template_extraction": op2_template_extraction,
     "op3_cap_filter_dedup": op3_cap_filter_dedup,
     "op4_soft_mixing": op4_soft_mixing,
     "op5_line_windows": op5_line_windows,
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_recurrent_lm": op9_recurrent_lm,
     "op10_induced_suffixes": op10_induced_suffixes,
+    "pipeline": corpus_pipeline.run,
 }
 
 FINE = "embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"
