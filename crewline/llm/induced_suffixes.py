@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from crewline.llm.hashing import BASE, BYTE_KEYS, mix, powers, slices
 
 LENGTH = 100
-GRAM = 20
+GRAM = 32
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 
 
@@ -405,18 +405,22 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
 
 
+def _ordered(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+
+
 def repeated_spans(documents: DataFrame, shard: int = 2 << 20) -> DataFrame:
     """``doc_id, begin, end``: bytes covered by strings of 100 bytes that also start earlier. Spans of a document may overlap.
 
     1. Each window of 100 bytes has an anchor; only anchors whose hash is there twice can belong to a repeat.
-    2. The bytes around those anchors (at most about 180 each) are dealt by the anchor's hash, so equal windows meet.
+    2. The bytes around those anchors (at most about 170 each) are dealt by the anchor's hash, so equal windows meet.
     3. A shard of them is put in order by induced suffix sorting, with its queues on disk when they are large; windows that
        share 100 bytes lie side by side, and all but the earliest are repeats.
     Contexts that are equal within a batch are settled there, so a passage that very many documents share sends one row per batch.
     """
     spark = documents.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    texts = _ordered(documents)
     packed = texts.mapInPandas(_scan(buckets), "bucket long, keys binary, docs binary, firsts binary")
     spread = F.when(F.col("bucket") < 0, F.xxhash64("docs")).otherwise(F.col("bucket"))
     dealt = packed.repartition(buckets // 4, spread).sortWithinPartitions("bucket")
@@ -436,5 +440,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     100 bytes stay whole; an empty table gives no rows; other columns play no part.
     """
     spans = repeated_spans(documents).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans, "doc_id", "left")
-    return texts.mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    # The same frame as in the search for spans, so that one shuffle of the texts serves both joins.
+    texts = _ordered(documents).join(spans, "doc_id", "left")
+    alone = documents.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    return texts.mapInPandas(_cut, schema).unionByName(alone.mapInPandas(_cut, schema))
