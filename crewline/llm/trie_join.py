@@ -20,11 +20,13 @@ class Join:
     words: int = 4
     percent: int = 85
     # n-grams, and words, that hold at least one part in so many of all are counted for the global order.
-    frequent: int = 2**19
+    frequent: int = 2**21
     # A probe meets its candidates in tries of about so many sets.
     trie: int = 128
-    # n-grams of a set that look for a first partner.
+    # Rounds in which sets look for partners, the n-grams by which each looks, and the partners that each n-gram offers.
+    rounds: int = 3
     scouts: int = 4
+    heads: int = 3
 
 
 @dataclass(frozen=True)
@@ -77,7 +79,7 @@ def _local_counts(p: Join):
             for kind, parts in (("gram", kept), ("word", single)):
                 every = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
                 values, counts = np.unique(every, return_counts=True)
-                some = counts >= 4
+                some = counts >= 2
                 out = pd.DataFrame({"hash": np.append(values[some].view(np.int64), 0), "n": np.append(counts[some], 0)})
                 yield out.assign(kind=kind, total=np.append(np.zeros(int(some.sum()), np.int64), len(every)))
 
@@ -108,18 +110,20 @@ def _described(p: Join, shared):
         for batch in batches:
             texts = batch["text"].tolist()
             for start, end in slices(texts):
-                sizes, sums, marks, prefixes = [], [], [], []
+                sizes, sums, marks, prefixes, scouts = [], [], [], [], []
                 for own in _sets(texts[start:end], p.words, Order(*shared.value)):
                     n = len(own)
                     sizes.append(n)
                     sums.append(np.add.reduce(mix(own)))
                     marks.append(np.bitwise_xor.reduce(mix(own * np.uint64(3))))
+                    # The least by another hash: two sets share each with the chance of their similarity.
+                    scouts.append(own[np.argsort(mix(own * np.uint64(5)))[: p.rounds * p.scouts]].view(np.int64))
                     # A partner holds at least ceil(percent * n) of the set, so one of the first n - that + 1.
                     prefixes.append(own[: n + (-p.percent * n // 100) + 1 if n else 0].view(np.int64))
                 out = pd.DataFrame({"doc_id": batch["doc_id"].iloc[start:end].to_numpy()})
                 out["n"] = np.array(sizes, np.int64)
                 out["f1"], out["f2"] = np.array(sums, np.uint64).view(np.int64), np.array(marks, np.uint64).view(np.int64)
-                out["prefix"] = pd.Series(prefixes, dtype=object)
+                out["prefix"], out["scouts"] = pd.Series(prefixes, dtype=object), pd.Series(scouts, dtype=object)
                 yield out
 
     return run
@@ -215,7 +219,7 @@ def probe_tries(pairs: DataFrame, bodies: DataFrame, p: Join, shared=None) -> Da
 def verify(pairs: DataFrame, reps: DataFrame, documents: DataFrame, p: Join, shared) -> DataFrame:
     """The pairs whose sets link: prefixes sort out nearly all others, then whole sets decide."""
     likely = probe_tries(materialize(pairs), reps.select("id", "n", F.col("prefix").alias("body")), p)
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body")).where("id IS NOT NULL")
     texts = materialize(texts.join(wanted, "id", "left_semi").join(reps.select("id", "n"), "id"))
     return probe_tries(likely, texts, p, shared)
@@ -228,8 +232,8 @@ def ngram_groups(documents: DataFrame, p: Join = Join()) -> DataFrame:
     n-gram; a text without words (or null) has an empty set and links with nothing. Equal sets are folded first.
 
     Sets are in one global order: n-grams of rare words first, frequent n-grams last. Two sets that link share an
-    n-gram of their prefixes. First every set looks for a partner with its first few n-grams only: of the sets of about
-    its size that share one, it meets the one with the smallest id. What links so is a group. Then all prefixes are
+    n-gram of their prefixes. First, in a few rounds, every set looks for partners with a few n-grams chosen by hash: of the sets of about
+    its size that share one and are in other groups yet, it meets a few. What links so is a group. Then all prefixes are
     compared, but only across groups, so a large group of near copies does not grow into all its pairs, and
     no link between groups is lost. Candidates meet in tries, of prefixes and then of whole sets (see ``_traverse``).
 
@@ -237,32 +241,36 @@ def ngram_groups(documents: DataFrame, p: Join = Join()) -> DataFrame:
     grouped by their own texts. Repeated rows stay; other columns play no part; an empty table gives no rows.
     """
     shared = documents.sparkSession.sparkContext.broadcast(astuple(global_order(documents, p)))
-    schema = "doc_id long, n long, f1 long, f2 long, prefix array<long>"
+    schema = "doc_id long, n long, f1 long, f2 long, prefix array<long>, scouts array<long>"
     sets = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_described(p, shared), schema))
     same = ["n", "f1", "f2"]
     folded = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    named = materialize(sets.where("n > 0 AND doc_id IS NOT NULL").join(folded, same).select("doc_id", *same, "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("prefix")).alias("prefix")))
+    named = materialize(sets.where("n > 0 AND doc_id IS NOT NULL").join(folded, same).select("doc_id", *same, "rep", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("prefix", "scouts")]))
     # One row for each set; of rows that repeat a document any will do, as their sets are equal.
-    reps = named.where("prefix IS NOT NULL").dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "n", *same[1:], "prefix")
+    reps = named.where("prefix IS NOT NULL").dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "n", "prefix", "scouts")
     reps = materialize(reps)
 
     band = F.floor(F.log("n") / float(-np.log(p.percent / 100))).cast("int").alias("band")
-    scouts = reps.select("id", band, F.explode(F.slice("prefix", 1, p.scouts)).alias("gram"))
-    heads = scouts.groupBy("gram", "band").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    stars = scouts.join(heads, ["gram", "band"]).where("id != a").select("a", F.col("id").alias("b")).distinct()
-    first = verify(stars, reps, documents, p, shared)
-    near = components(first)
-
-    posts = reps.join(near, "id", "left").select(
-        "id", "n", F.coalesce("component", "id").alias("grp"), F.posexplode("prefix").alias("place", "gram")
-    )
+    first, grouped = None, reps.withColumn("grp", F.col("id"))
+    for turn in range(p.rounds):
+        scouts = grouped.select("id", "grp", band, F.explode(F.slice("scouts", turn * p.scouts + 1, p.scouts)).alias("gram"))
+        offered = [F.min(F.struct(F.xxhash64("id", "gram", F.lit(i)), "id", "grp")) for i in range(p.heads)]
+        heads = scouts.groupBy("gram", "band").agg(F.array(*offered).alias("heads"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi")
+        stars = scouts.join(heads, ["gram", "band"]).select("id", "grp", F.explode("heads").alias("head")).where("grp <> head.grp")
+        stars = stars.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
+        found = verify(stars, reps, documents, p, shared)
+        first = found if first is None else first.unionByName(found)
+        near = components(first)
+        grouped = materialize(reps.join(near, "id", "left").withColumn("grp", F.coalesce("component", "id")).drop("component"))
+
+    posts = grouped.select("id", "n", "grp", F.posexplode("prefix").alias("place", "gram"))
     crossed = posts.groupBy("gram").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo != hi").select("gram")
     left = materialize(posts.join(crossed, "gram", "left_semi"))
     a, b = [left.select("gram", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "grp", "place")]) for side in "ab"]
     alike = (F.col("a_n") * p.percent <= F.col("b_n") * 100) & (F.col("b_n") * p.percent <= F.col("a_n") * 100)
-    # What is left after the shared n-gram must still reach the overlap needed.
+    # Before their first common n-gram two sets share nothing: what is left from there on must reach the overlap needed.
     ahead = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
-    reaches = (ahead + F.least("a_place", "b_place")) * (100 + p.percent) >= (F.col("a_n") + F.col("b_n")) * p.percent
+    reaches = ahead * (100 + p.percent) >= (F.col("a_n") + F.col("b_n")) * p.percent
     # The smaller set (then the smaller id) is the probe.
     ordered = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
     met = a.join(b, "gram").where((F.col("a_grp") != F.col("b_grp")) & alike & reaches & ordered)
