@@ -8,7 +8,9 @@ from pyspark.sql import Column, functions as F
 
 
 def lookup(key: Column, mapping: Mapping) -> Column:
-    """Value of a small fixed mapping, NULL for unknown keys."""
+    """Value of a small fixed mapping, NULL for unknown keys and without a mapping."""
+    if not mapping:
+        return F.lit(None).cast("string")
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])[key]
 
 

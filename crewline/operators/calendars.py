@@ -13,8 +13,10 @@ def day_lists(df: DataFrame, keys: Sequence[str], entry: Sequence[str]) -> DataF
     """Sorted entries per key, equal ones folded into one with a count ``n``.
 
     The fold comes first, on the map side, so a list is as long as its key has different entries,
-    however many rows there are; ``n`` keeps the number of rows.
+    however many rows there are; ``n`` keeps the number of rows. Rows with a NULL key belong to no list.
     """
+    for key in keys:
+        df = df.where(F.col(key).isNotNull())
     folded = df.groupBy(*keys, *entry).agg(F.count("*").alias("n"))
     return folded.groupBy(*keys).agg(
         F.sum("n").alias("shifts"), F.sort_array(F.collect_list(F.struct(*entry, "n"))).alias("entries")
@@ -35,6 +37,11 @@ def day_marks(df: DataFrame, key: str, day: str = "shift_date") -> DataFrame:
     )
 
 
+def with_entries(cells: DataFrame, lists: DataFrame, key: str, day: str = "shift_date") -> DataFrame:
+    """Calendar cells with the entries of their day; a day without any, or a blank cell, has none."""
+    return cells.join(lists.select(key, day, "entries"), [key, day], "left")
+
+
 def calendar_grid(marks: DataFrame, key: str, day: str = "shift_date") -> DataFrame:
     """One row per cell of every month from a key's first to its last day.
 

@@ -4,8 +4,8 @@ Both sets are cut by nested latitude / longitude grids. From the coarsest grid d
 occupied cells are kept only while they can matter: for the k nearest (a cell no nearer than k
 stores for certain is dropped) or for the radius (cells wholly inside are counted as a block, cells
 wholly outside are dropped). Single points meet only in what is left after the finest grid, so
-neither a dense city nor many points in one cell multiplies into all pairs; where stores crowd into one
-cell, finer grids follow. Points with equal coordinates are folded before and unfolded at the end.
+neither a dense city nor many points in one cell multiplies into all pairs. The grids, and so the plan, are
+the same for all data. Points with equal coordinates are folded before and unfolded at the end.
 """
 
 from __future__ import annotations
@@ -19,11 +19,8 @@ from crewline.operators.latest import top_k_per_group
 from crewline.sources.sinks import materialize
 
 FINEST = 8192  # cells per degree
-# Cell widths: 4 degrees, 1/4, 1/32 (about 2 miles), 1/512 and 1/8192 degree. The last two are used only
-# while some cell holds more than DENSE store spots.
-SHIFTS = (15, 11, 8, 4, 0)
-ALWAYS = 3
-DENSE = 64
+# Cell widths: 4 degrees, 1/4, 1/32 (about 2 miles) and 1/512 degree (about 700 feet).
+SHIFTS = (15, 11, 8, 4)
 # Stores that round to the same 0.1 mile are up to that far apart.
 SLACK = 0.101
 
@@ -57,15 +54,6 @@ def _cells(points: DataFrame, name: str, shift: int, up: int | None) -> DataFram
     )
 
 
-def _grids(spots: DataFrame) -> Sequence[int]:
-    """As many grids as the densest place asks for; one number per grid comes back."""
-    for depth in range(ALWAYS, len(SHIFTS)):
-        crowd = spots.groupBy(F.expr(_cell(SHIFTS[depth - 1]))).count().agg(F.max("count")).first()[0]
-        if (crowd or 0) <= DENSE:
-            return SHIFTS[:depth]
-    return SHIFTS
-
-
 def _bounded(pairs: DataFrame, k: int, radius: float) -> DataFrame:
     """Count whole cells inside the radius, drop what is settled, keep the rest open."""
     half_chord = "sqrt(greatest(0D, (1 - q_x * s_x - q_y * s_y - q_z * s_z) / 2))"
@@ -97,7 +85,6 @@ def nearest_k(points: DataFrame, stores: DataFrame, companies: Sequence[str], k:
     lng``. Distances are rounded to 0.1 mile before they are ranked and before they are compared with
     the radius; equal ones are ranked by store number. Points or stores without coordinates drop out.
     """
-    spark = points.sparkSession
     placed = F.col("lat").isNotNull() & F.col("lng").isNotNull()
     names = F.array(*[F.lit(c) for c in companies])
     points = points.where(placed)
@@ -106,22 +93,19 @@ def nearest_k(points: DataFrame, stores: DataFrame, companies: Sequence[str], k:
     # Both are read at every grid, so they are written once.
     sites = materialize(_gridded(points.select("lat", "lng", F.lit(1).alias("n")).distinct()))
     spots = materialize(stores.groupBy("part", "lat", "lng", "row", "col").agg(F.count("*").alias("n")))
-    shifts = _grids(spots)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     # The coarsest grid has at most 46 x 91 cells per company, whatever the size of the data.
     asked = F.explode(F.sequence(F.lit(1), F.lit(len(companies)))).alias("part")
-    coarse = F.broadcast(_cells(spots, "s", shifts[0], None))
-    pairs = _cells(sites, "q", shifts[0], None).select("*", asked).join(coarse, F.col("part") == F.col("s_part"))
+    coarse = F.broadcast(_cells(spots, "s", SHIFTS[0], None))
+    pairs = _cells(sites, "q", SHIFTS[0], None).select("*", asked).join(coarse, F.col("part") == F.col("s_part"))
     start = ["true AS for_count", "true AS for_nearest", "0L AS counted", "CAST(NULL AS DOUBLE) AS limit"]
     pairs = _bounded(pairs.selectExpr("*", *start), k, radius)
-    for up, shift in zip(shifts, shifts[1:]):
-        # A pair can grow into many: spread the pairs by number, not by size, before they do.
-        pairs = pairs.withColumnsRenamed({"q": "q_up", "s": "s_up"}).repartition(parts)
+    for up, shift in zip(SHIFTS, SHIFTS[1:]):
+        pairs = pairs.withColumnsRenamed({"q": "q_up", "s": "s_up"})
         pairs = pairs.join(_cells(sites, "q", shift, up), "q_up").join(_cells(spots, "s", shift, up), "s_up")
         pairs = _bounded(pairs, k, radius)
 
-    last = _cell(shifts[-1])
+    last = _cell(SHIFTS[-1])
     ends = sites.selectExpr(f"{last} AS q", "lat AS q_lat", "lng AS q_lng")
     spot_ends = spots.selectExpr(f"{last} AS s", "part", "n", "lat AS s_lat", "lng AS s_lng")
     miles = distance_miles(F.col("q_lat"), F.col("q_lng"), F.col("s_lat"), F.col("s_lng"))

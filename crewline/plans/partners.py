@@ -30,7 +30,7 @@ def partner_profile(partners: DataFrame, as_of_ts: datetime) -> DataFrame:
 
 
 def deactivation_history(deactivations: DataFrame, names: Mapping[str, str] = COMPANY_NAMES) -> DataFrame:
-    """All records, newest first."""
+    """All records; a look-up shows a partner's newest first, and the written mart keeps that order."""
     return deactivations.withColumns(
         {
             "status": label.deact_status(F.col("is_banned"), F.col("is_deactivated")),
@@ -48,7 +48,7 @@ def deactivation_status(
     """The record that counts: the newest one of each partner."""
     newest = latest_per_key(deactivations, ["partner_id"], "ds", tie)
     return deactivation_history(newest, names).withColumn(
-        "deactivation_level", F.coalesce("deactivation_level", F.lit("N/A"))
+        "deactivation_level", F.when(~F.coalesce("deactivation_level", F.lit("")).isin("", "None"), F.col("deactivation_level")).otherwise("N/A")
     )
 
 
@@ -63,6 +63,25 @@ def shifts_sent(user_shifts: DataFrame, start: datetime, end: datetime, as_of_ts
     ).withColumnsRenamed({"start": "shift_start", "end": "shift_end"})
 
 
+def offer_kpis(sent: DataFrame, statuses: Sequence[str] = ()) -> DataFrame:
+    """Offers by outcome per partner and ``rule``: accepted by status or an assignment (``both``), or by status alone.
+
+    Counts all statuses unless some are chosen. Both rules come from one aggregate.
+    """
+    rows = filter_in(sent, {"status": statuses})
+    accepted = {
+        "both": label.is_accepted(F.col("status"), F.col("assigned_at"), True), "status": label.is_accepted(F.col("status"), F.col("assigned_at"), False),
+    }
+    counted = rows.groupBy("partner_id").agg(
+        F.count("*").alias("total"),
+        F.array(*[F.struct(F.lit(rule).alias("rule"), F.count_if(test).alias("accepted")) for rule, test in accepted.items()]).alias("rules"),
+        F.count("seen_at").alias("seen"),
+        F.count("completed_at").alias("completed"),
+        F.count_if(F.col("status").isin(label.DROPPED_STATUSES)).alias("dropped"),
+    )
+    return counted.select("partner_id", F.inline("rules"), "total", "seen", "completed", "dropped")
+
+
 def listed_shifts(sent: DataFrame, statuses: Sequence[str] = label.LISTED_STATUSES) -> DataFrame:
     """The statuses that are shown unless others are chosen."""
     return filter_in(sent, {"status": statuses})

@@ -15,15 +15,27 @@ from crewline.sources.sinks import materialize
 
 
 def nearest_stores(partners: DataFrame, locations: DataFrame, companies: Sequence[str], k: int = 5, radius: float = 25.0) -> DataFrame:
-    """The k nearest active stores of every partner and company."""
-    homes = partners.select("partner_id", F.col("partner_lat").alias("lat"), F.col("partner_lng").alias("lng")).distinct()
+    """The k nearest active stores of every partner and company; one row with zero stores for a company that has none.
+
+    A partner listed with several places counts as living at the greatest (latitude, longitude) of them.
+    """
+    placed = F.col("partner_lat").isNotNull() & F.col("partner_lng").isNotNull()
+    home = F.max(F.struct(F.col("partner_lat").alias("lat"), F.col("partner_lng").alias("lng")))
+    homes = partners.where(placed).groupBy("partner_id").agg(home.alias("home")).select("partner_id", "home.*")
     stores = locations.where(F.col("is_active")).select(
         "company_name", F.col("external_id").alias("store_number"), "city", "state_code", "lat", "lng"
     )
-    return nearest_k(homes, stores, companies, k, radius).select(
+    found = nearest_k(homes, stores, companies, k, radius).select(
         "partner_id", "company_name", "rank", "store_number", "city", "state_code", "distance_miles",
         "total_active_stores", "stores_within_radius",
     )
+    known = stores.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select("company_name").distinct()
+    named = homes.select("partner_id", F.explode(F.array(*[F.lit(c) for c in companies])).alias("company_name"))
+    without = named.join(known, "company_name", "left_anti")
+    empty = {"total_active_stores": F.lit(0), "stores_within_radius": F.lit(0)}
+    return found.unionByName(
+        without.select(*[empty.get(f.name, F.col(f.name) if f.name in without.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in found.schema])
+    )
 
 
 def store_outlook(assignments: DataFrame, companies: Sequence[str], as_of_date: date, back: int = 7, ahead: int = 30) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, functions as F
@@ -9,8 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 from crewline.functions.numbers import mean_money
 from crewline.functions.text import zone_label
 from crewline.operators.counts import shift_totals
-from crewline.operators.filters import latest_snapshot
-from crewline.plans.markets import open_supply
+
+# Texts that stand for no city.
+NO_CITY = ("", "None", "nan")
 
 
 def zone_rows(filtered: DataFrame) -> DataFrame:
@@ -61,33 +63,40 @@ def store_summary(rows: DataFrame) -> DataFrame:
     return _rate(summed.drop("canceled")).orderBy(F.col("total_shifts").desc(), "zone_hex", "store_number", "store_name")
 
 
-def zone_cities(supply: DataFrame, locations: DataFrame, company: str, since: date) -> DataFrame:
-    """Set of store cities per zone, over the clusters that had shifts since a day."""
-    clusters = (
-        open_supply(supply, company).where(F.col("date") >= F.lit(since)).select("zone_description", "store_cluster").distinct()
-    )
-    stores = locations.where((F.col("company_name") == company) & F.col("is_active") & F.col("city").isNotNull())
-    stores = stores.select(F.col("hex").alias("store_cluster"), "city").distinct()
-    pairs = clusters.join(stores, "store_cluster").select("zone_description", "city").distinct()
-    return pairs.groupBy("zone_description").agg(F.sort_array(F.collect_list("city")).alias("store_cities"))
+def _of(df: DataFrame, companies: Sequence[str] | None) -> DataFrame:
+    """Rows of the companies named, or of all that have a name."""
+    return df.where(F.col("company_name").isNotNull() if companies is None else F.col("company_name").isin(list(companies)))
+
+
+def zone_cities(supply: DataFrame, locations: DataFrame, companies: Sequence[str] | None, since: date) -> DataFrame:
+    """Set of store cities per company and zone, over the clusters that had shifts since a day; empty names are no city."""
+    open_days = _of(supply, companies).where((F.col("position") == "All") & (F.col("shifts") > 0) & (F.col("date") >= F.lit(since)))
+    clusters = open_days.select("company_name", "zone_description", "store_cluster").distinct()
+    named = F.col("city").isNotNull() & ~F.col("city").isin(*NO_CITY)
+    stores = _of(locations, companies).where(F.col("is_active") & named)
+    stores = stores.select("company_name", F.col("hex").alias("store_cluster"), "city").distinct()
+    pairs = clusters.join(stores, ["company_name", "store_cluster"]).select("company_name", "zone_description", "city").distinct()
+    return pairs.groupBy("company_name", "zone_description").agg(F.sort_array(F.collect_list("city")).alias("store_cities"))
 
 
-def zone_peaks(supply: DataFrame, company: str) -> DataFrame:
-    """Zone and city pairs of the last snapshot with their largest shift count."""
-    listed = supply.where((F.col("company_name") == company) & (F.col("position") == "All"))
-    last = latest_snapshot(listed, "date").where(F.col("shifts") > 0)
-    return last.groupBy("zone_description", "hex_city_description").agg(F.max("shifts").alias("max_shifts"))
+def zone_peaks(supply: DataFrame, companies: Sequence[str] | None) -> DataFrame:
+    """Zone and city pairs of each company's last snapshot with their largest shift count."""
+    listed = _of(supply, companies).where(F.col("position") == "All")
+    # One row per company, so it meets the supply as a broadcast; larger, the sizes decide.
+    last_day = listed.groupBy("company_name").agg(F.max("date").alias("date"))
+    last = listed.where(F.col("shifts") > 0).join(last_day, ["company_name", "date"])
+    return last.groupBy("company_name", "zone_description", "hex_city_description").agg(F.max("shifts").alias("max_shifts"))
 
 
-def zone_list(supply: DataFrame, locations: DataFrame, company: str, as_of_date: date, days: int = 7) -> DataFrame:
-    """Labelled zones of a company, ready to be saved."""
-    cities = zone_cities(supply, locations, company, as_of_date - timedelta(days=days))
+def zone_list(supply: DataFrame, locations: DataFrame, companies: Sequence[str] | None, as_of_date: date, days: int = 7) -> DataFrame:
+    """Labelled zones of the companies named, or of all, ready to be saved; one plan whatever their number."""
+    cities = zone_cities(supply, locations, companies, as_of_date - timedelta(days=days))
     none = F.array().cast("array<string>")
     return (
-        zone_peaks(supply, company)
-        .join(cities, "zone_description", "left")
+        zone_peaks(supply, companies)
+        .join(cities, ["company_name", "zone_description"], "left")
         .select(
-            F.lit(company).alias("company"),
+            F.col("company_name").alias("company"),
             zone_label(
                 F.col("hex_city_description"), F.col("zone_description"), F.coalesce("store_cities", none)
             ).alias("label"),
@@ -95,6 +104,6 @@ def zone_list(supply: DataFrame, locations: DataFrame, company: str, as_of_date:
             "max_shifts",
             "hex_city_description",
         )
-        .orderBy("hex_city_description", "value")
+        .orderBy("company", "hex_city_description", "value")
         .drop("hex_city_description")
     )

@@ -2,28 +2,50 @@
 
 ``python -m crewline.refresh --base /lake/raw --out /lake/marts --company "..." --as-of 2024-01-31T06:00``
 
-Each mart is a Parquet table partitioned by ``as_of``; running a day again replaces that day only. A
-look-up of one partner, zone or store is a filtered read of a mart.
+Each mart is a Parquet table partitioned by ``as_of``, the client marts by ``company`` as well; running a day again
+replaces that day (and company) only. ``--company`` may be repeated. Rows are ranged and sorted by the key of their
+look-ups, so file statistics let a look-up of one partner, zone or shift skip files. Scratch copies of a run are deleted at its end.
 """
 
 from __future__ import annotations
 
 import argparse
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from datetime import datetime
+from dataclasses import dataclass
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, functions as F
 
 from crewline.operators import calendars, counts
 from crewline.params import FunnelParams
 from crewline.plans import bonuses, checks, funnel, markets, partners, shifts, stores, zones
-from crewline.session import build_session
+from crewline.session import build_session, scratch
 from crewline.sources import sinks
 from crewline.sources.dimensions import COMPANY_NAMES
 from crewline.sources.warehouse import Warehouse
 
-LOOKUP_BACK, LOOKUP_AHEAD = 90, 30
-SUMMARY_BACK = 7
+# Marts of one client company; all others hold every company.
+CLIENT = frozenset(
+    "target_markets priority_markets funnel_summary funnel_roster funnel_v2 funnel_kpis funnel_breakdown zone_summary store_summary zone_kpis".split()
+)
+# Columns by which a mart is looked up, the first that it has; newest rows of a partner first where it has days.
+LOOKUP = ("partner_id", "shift_id", "zone_hex", "zone_description")
+NEWEST = ("ds", "shift_start", "shift_date", "updated_at")
+
+
+@dataclass(frozen=True)
+class Windows:
+    """Days of the look-ups back and ahead, and of the summaries back; None leaves a side open."""
+
+    back: int | None = 90
+    ahead: int | None = 30
+    summary: int | None = 7
+
+    def days(self, p: FunnelParams) -> tuple[date, date]:
+        return (date.min.replace(year=1900) if self.back is None else p.day(-self.back), date.max if self.ahead is None else p.day(self.ahead))
+
+    def since(self, p: FunnelParams) -> date | None:
+        return None if self.summary is None else p.day(-self.summary)
 
 
 def marts(
@@ -33,9 +55,12 @@ def marts(
     names: Mapping[str, str] = COMPANY_NAMES,
     cleared_tag: str = funnel.dims.CLEARED_TAG,
     checks_tie: Sequence[str] = checks.TIE,
+    windows: Windows = Windows(),
 ) -> dict[str, Callable[[], DataFrame]]:
     """Builders by mart name. Frames that several marts need are written once, when first asked for."""
     kept: dict[str, DataFrame] = {}
+    first, last = windows.days(p)
+    start, end = (datetime.combine(day, datetime.min.time()) for day in (first, last))
 
     def once(name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in kept:
@@ -49,17 +74,17 @@ def marts(
         return once("v2", lambda: funnel.funnel_v2_overrides(src["partner_throughput"], src["user_certs"], src["bgc_override"], p, cleared_tag))
 
     def client_rows():
-        window = shifts.shift_filter(src["shift_assignments"], p.company, p.day(-SUMMARY_BACK), p.as_of_date)
+        window = shifts.shift_filter(src["shift_assignments"], p.company, windows.since(p), p.as_of_date)
         return once("client", lambda: zones.zone_rows(window))
 
     def sent():
-        return once("sent", lambda: partners.shifts_sent(src["user_shifts"], p.midnight(-LOOKUP_BACK), p.midnight(LOOKUP_AHEAD), p.as_of_ts, names))
+        return once("sent", lambda: partners.shifts_sent(src["user_shifts"], start, end, p.as_of_ts, names))
 
     def own_bonuses():
         return once("bonuses", lambda: bonuses.partner_bonuses(src["bonus_eligible_users"], src["bonus_progress"], names))
 
     def assigned():
-        return once("assigned", lambda: partners.assignments(src["shift_assignments"], p.day(-LOOKUP_BACK), p.day(LOOKUP_AHEAD)))
+        return once("assigned", lambda: partners.assignments(src["shift_assignments"], first, last))
 
     def near():
         return once("near", lambda: stores.nearest_stores(src["partner_throughput"], src["locations"], companies))
@@ -77,35 +102,49 @@ def marts(
         "deactivation_status": lambda: partners.deactivation_status(src["partner_deactivations"], names),
         "deactivation_history": lambda: partners.deactivation_history(src["partner_deactivations"], names),
         "shifts_sent": sent,
-        "shifts_sent_kpis": lambda: counts.sent_kpis(partners.listed_shifts(sent())),
+        "shifts_sent_kpis": lambda: partners.offer_kpis(sent()),
         "partner_bonuses": own_bonuses,
         "bonus_kpis": lambda: counts.bonus_kpis(own_bonuses()),
         "assignments": assigned,
         "assignment_kpis": lambda: counts.assignment_kpis(assigned()),
-        "assignment_calendar": lambda: calendars.calendar_grid(calendars.day_marks(assigned(), "partner_id"), "partner_id"),
+        "assignment_calendar": lambda: calendars.with_entries(
+            calendars.calendar_grid(calendars.day_marks(assigned(), "partner_id"), "partner_id"),
+            calendars.day_lists(assigned(), ["partner_id", "shift_date"], ["company_name", "shift_type", "assignment_status", "store_number"]),
+            "partner_id",
+        ),
         "partner_tags": lambda: partners.partner_tags(src["user_certs"]),
         "partner_assessments": lambda: partners.partner_assessments(src["partner_assessment_status"]),
         "nearest_stores": near,
         "nearby_outlook": lambda: stores.nearby_outlook(near(), stores.store_outlook(src["shift_assignments"], companies, p.as_of_date)),
-        "market_shifts": lambda: shifts.market_shifts(shifts.shift_filter(src["shift_assignments"], None, p.day(-SUMMARY_BACK), p.as_of_date)),
-        "shift_detail": lambda: shifts.shift_detail(shifts.shift_filter(src["shift_assignments"], None, p.day(-LOOKUP_BACK), p.day(LOOKUP_AHEAD))),
+        "market_shifts": lambda: shifts.market_shifts(shifts.shift_filter(src["shift_assignments"], None, windows.since(p), p.as_of_date)),
+        "shift_detail": lambda: shifts.shift_detail(src["shift_assignments"]),
         "zone_summary": lambda: zones.zone_summary(client_rows()),
         "store_summary": lambda: zones.store_summary(client_rows()),
         "zone_kpis": lambda: counts.shift_kpis(client_rows()),
-        "zone_list": lambda: zones.zone_list(src["supply_daily_position"], src["locations"], p.company, p.as_of_date),
+        "zone_list": lambda: zones.zone_list(src["supply_daily_position"], src["locations"], None, p.as_of_date),
     }
 
 
+def _clustered(df: DataFrame) -> DataFrame:
+    keys = [c for c in LOOKUP if c in df.columns][:1]
+    if not keys:
+        return df
+    newest = [F.desc(c) for c in NEWEST if c in df.columns and keys == ["partner_id"]][:1]
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys, *newest)
+
+
 def refresh(builders: Mapping[str, Callable[[], DataFrame]], p: FunnelParams, out: str, only: Iterable[str] = ()) -> None:
-    for name in list(only) or builders:
-        (
-            builders[name]()
-            .withColumn("as_of", F.lit(p.as_of_date))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("as_of")
-            .parquet(f"{out.rstrip('/')}/{name}")
-        )
+    """Write the marts named, or all; scratch copies made on the way are deleted, also after a failure."""
+    base = out.rstrip("/")
+    with scratch():
+        for name in list(only) or builders:
+            df = _clustered(builders[name]()).withColumn("as_of", F.lit(p.as_of_date))
+            by = ["as_of"]
+            if name in CLIENT:
+                df, by = df.withColumn("company", F.lit(p.company)), ["as_of", "company"]
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{base}/{name}")
+            if name == "zone_list":
+                sinks.save_zones(builders[name](), f"{base}/saved_zones", p.as_of_ts)
 
 
 def main() -> None:
@@ -113,15 +152,23 @@ def main() -> None:
     args.add_argument("--base", help="folder of the source tables")
     args.add_argument("--database", help="or: catalog database of the source tables")
     args.add_argument("--out", required=True)
-    args.add_argument("--company", required=True, help="client company of the funnel")
+    args.add_argument("--company", required=True, action="append", help="client company of the funnel; may be repeated")
     args.add_argument("--store-company", action="append", default=[], help="company for nearest stores; may be repeated")
     args.add_argument("--as-of", required=True, type=datetime.fromisoformat, help="wall-clock time, without zone")
+    days = lambda text: None if text == "all" else int(text)
+    for name, default in (("back", 90), ("ahead", 30), ("summary", 7)):
+        args.add_argument(f"--{name}", type=days, default=default, help="days of the look-ups or summaries, or 'all'")
     args.add_argument("mart", nargs="*", help="marts to write; all when none is named")
     given = args.parse_args()
-    p = FunnelParams(given.company, given.as_of.date(), given.as_of)
     spark = build_session("crewline-refresh")
     src = Warehouse(spark, given.base, given.database)
-    refresh(marts(src, p, given.store_company or [given.company]), p, given.out, given.mart)
+    windows = Windows(given.back, given.ahead, given.summary)
+    for i, company in enumerate(given.company):
+        p = FunnelParams(company, given.as_of.date(), given.as_of)
+        builders = marts(src, p, given.store_company or given.company, windows=windows)
+        wanted = [m for m in given.mart or builders if i == 0 or m in CLIENT]
+        if wanted:
+            refresh(builders, p, given.out, wanted)
 
 
 if __name__ == "__main__":

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -32,6 +34,22 @@ def build_session(app: str = "crewline", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_watched: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Delete the shared folders that are taken within the block when it ends, well or not."""
+    _watched.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _watched.pop():
+            jvm = spark.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``.
 
@@ -43,4 +61,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         base = tempfile.mkdtemp(prefix="crewline-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if _watched:
+        _watched[-1].append((spark, path))
+    return path

@@ -10,19 +10,38 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from crewline.sources import schemas
 
 
+def differences(found: T.DataType, declared: T.DataType, path: str = "") -> list[str]:
+    """What of a declared type is missing or of another type; further columns do not matter."""
+    if isinstance(declared, T.StructType) and isinstance(found, T.StructType):
+        have = {f.name: f.dataType for f in found}
+        out = []
+        for field in declared:
+            at = f"{path}.{field.name}" if path else field.name
+            out += differences(have[field.name], field.dataType, at) if field.name in have else [f"{at} is missing"]
+        return out
+    if isinstance(declared, T.ArrayType) and isinstance(found, T.ArrayType):
+        return differences(found.elementType, declared.elementType, f"{path}[]")
+    return [] if found == declared else [f"{path} is {found.simpleString()}, not {declared.simpleString()}"]
+
+
+def _checked(found: T.StructType, name: str, where: str) -> None:
+    problems = differences(found, schemas.source_schema(name))
+    if problems:
+        raise ValueError(f"{where} is not a {name}: {'; '.join(problems)}")
+
+
 def read(spark: SparkSession, name: str, path: str, columns: Iterable[str] | None = None) -> DataFrame:
-    """Scan a declared table from Parquet, with the column names of the marts."""
+    """Scan a declared table from Parquet, with the column names of the marts; fails early when the files differ from what is declared."""
+    _checked(spark.read.parquet(path).schema, name, path)
     df = spark.read.schema(schemas.source_schema(name)).parquet(path)
     df = df.withColumnsRenamed(schemas.renames(name))
     return df.select(*columns) if columns else df
 
 
 def read_table(spark: SparkSession, name: str, table: str) -> DataFrame:
-    """Same from the catalog; fails early when a declared column is missing."""
+    """Same from the catalog."""
     df = spark.table(table)
-    missing = [f.name for f in schemas.source_schema(name) if f.name not in df.columns]
-    if missing:
-        raise ValueError(f"{table} lacks the columns {missing} of {name}")
+    _checked(df.schema, name, table)
     return df.select(*schemas.source_schema(name).names).withColumnsRenamed(schemas.renames(name))
 
 

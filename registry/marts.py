@@ -227,11 +227,11 @@ def shifts_sent(s: Staged):
 
 
 @check(
-    f"""SELECT partner_id, {_SENT.format(more='OR assigned_at IS NOT NULL')} FROM stg_user_shift
-        WHERE {_IN_WINDOW} AND status IN ('Sent', 'Accepted', 'Assigned', 'Completed') GROUP BY 1"""
+    f"""SELECT partner_id, 'both' AS rule, {_SENT.format(more='OR assigned_at IS NOT NULL')} FROM stg_user_shift WHERE {_IN_WINDOW} GROUP BY 1
+        UNION ALL SELECT partner_id, 'status', {_SENT.format(more='')} FROM stg_user_shift WHERE {_IN_WINDOW} GROUP BY 1"""
 )
 def shifts_sent_kpis(s: Staged):
-    return counts.sent_kpis(partners.listed_shifts(_sent(s)))
+    return partners.offer_kpis(_sent(s))
 
 
 @check(BONUS_SQL + "SELECT * FROM b_all")
@@ -327,6 +327,6 @@ def zone_kpis(s: Staged):
     return counts.shift_kpis(_client_rows(s))
 
 
-@check(ZONE_LIST_SQL + "SELECT company, value, label, max_shifts FROM z_list WHERE company = 'BUILDING'")
+@check(ZONE_LIST_SQL + "SELECT company, value, label, max_shifts FROM z_list")
 def zone_list(s: Staged):
-    return _zones(s, "BUILDING")
+    return _zones(s, None)

@@ -75,8 +75,8 @@ z_list AS (
 """
 
 
-def _zones(s: Staged, company: str):
-    return zones.zone_list(s.supply_daily_position, s.locations, company, P.as_of_date)
+def _zones(s: Staged, company: str | None):
+    return zones.zone_list(s.supply_daily_position, s.locations, company and [company], P.as_of_date)
 
 
 def _saved_zones(s: Staged) -> str:
@@ -476,9 +476,9 @@ def group_dedup(s: Staged):
     return s.supply_daily_position.select("zone_description", "hex_city_description").distinct()
 
 
-@check(ZONE_LIST_SQL + "SELECT zone_description, hex_city_description, max_shifts FROM z_last WHERE company_name = 'BUILDING'")
+@check(ZONE_LIST_SQL + "SELECT company_name, zone_description, hex_city_description, max_shifts FROM z_last")
 def zone_peaks(s: Staged):
-    return zones.zone_peaks(s.supply_daily_position, "BUILDING")
+    return zones.zone_peaks(s.supply_daily_position, None)
 
 
 _TOTALS = """COUNT(*) AS total_shifts, COUNT(*) FILTER (is_completed) AS completed, COUNT(*) FILTER (is_noshow) AS noshows,
@@ -596,10 +596,10 @@ def day_lists(s: Staged):
 
 
 @check(
-    ZONE_LIST_SQL + "SELECT zone_description, array_to_string(LIST(city ORDER BY city), ',') AS store_cities FROM z_city WHERE company_name = 'BUILDING' GROUP BY 1"
+    ZONE_LIST_SQL + "SELECT company_name, zone_description, array_to_string(LIST(city ORDER BY city), ',') AS store_cities FROM z_city GROUP BY 1, 2"
 )
 def zone_cities(s: Staged):
-    cities = zones.zone_cities(s.supply_daily_position, s.locations, "BUILDING", P.day(-7))
+    cities = zones.zone_cities(s.supply_daily_position, s.locations, None, P.day(-7))
     return cities.withColumn("store_cities", F.array_join("store_cities", ","))
 
 

@@ -286,11 +286,7 @@ def is_m1_any(s: Staged):
 
 @check(ZONE_LIST_SQL + "SELECT company, value AS zone, label FROM z_list")
 def zone_label(s: Staged):
-    lists = [_zones(s, company) for company in [*COMPANIES, "AUTOMOBILE", "HOUSEHOLD"]]
-    out = lists[0]
-    for other in lists[1:]:
-        out = out.union(other)
-    return out.select("company", F.col("value").alias("zone"), "label")
+    return _zones(s, None).select("company", F.col("value").alias("zone"), "label")
 
 
 @check(

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,19 @@ def test_no_all_pairs_join_and_no_python(spark):
         assert banned not in plan
 
 
+def test_plan_does_not_depend_on_the_data(spark):
+    """A crowded block does not change the plan, and no row comes to the driver while it is built."""
+    def shape(stores):
+        p = spark.createDataFrame([(i, 40 + i / 100, -74.0) for i in range(50)], "id int, lat double, lng double")
+        s = spark.createDataFrame(stores, "company_name string, store_number string, lat double, lng double")
+        plan = nearest_k(p, s, ["A"])._jdf.queryExecution().sparkPlan().toString()
+        return re.findall(r"^[ :+\-]*(?:\*\(\d+\) )?(\w+)", plan, re.M)
+
+    spread = [("A", f"{i}", 40 + i / 10, -74.0) for i in range(80)]
+    crowded = spread + [("A", f"c{i}", 40.00001 + i / 1e7, -74.0) for i in range(200)]
+    assert shape(spread) == shape(crowded)
+
+
 def test_city_block_is_counted_as_a_block(spark):
     """Many stores and points in one cell: far fewer pairs meet than there are."""
     rng = random.Random(3)

@@ -4,12 +4,13 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from conftest import SMALL
+from registry import marts, relational, scalars  # noqa: F401
+from registry.core import QUERIES
 
 
 def plan_of(spark, name):
-    return entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    return QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("name", ["latest_per_key", "latest_after_filter", "dedup_latest", "top_k_per_group", "current_record", "bgc_latest"])
@@ -28,7 +29,7 @@ def test_sort_with_limit_keeps_n_rows_per_task(spark, name):
     assert "TakeOrderedAndProject" in plan_of(spark, name)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_and_no_all_pairs(spark, name):
     plan = plan_of(spark, name)
     for banned in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):

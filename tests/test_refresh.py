@@ -1,13 +1,14 @@
 """All marts are written from declared source tables and can be written again."""
 
 import dataclasses
+import os
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from crewline.refresh import marts, refresh
-from crewline.sources import schemas
+from crewline.sources import schemas, sinks
 from crewline.sources.dimensions import ROSTER_L2
 from crewline.sources.warehouse import Warehouse
 from registry.core import COMPANIES, P
@@ -44,6 +45,33 @@ def test_refresh_writes_every_mart_and_replaces_one_day(spark, warehouse, tmp_pa
     }
 
 
+def test_two_companies_on_one_day_and_old_shifts(spark, warehouse, staged, tmp_path):
+    out = str(tmp_path)
+    for company in ("BUILDING", "FURNITURE"):
+        p = dataclasses.replace(P, company=company, as_of_ts=datetime(2024, 1, 31, 6))
+        refresh(marts(warehouse, p, COMPANIES), p, out, ["zone_kpis", "zone_summary", "store_summary", "target_markets", "zone_list", "shift_detail"])
+    for name in ("zone_kpis", "zone_summary", "store_summary", "target_markets", "zone_list"):
+        companies = {r.company for r in spark.read.parquet(f"{out}/{name}").select("company").distinct().collect()}
+        assert companies >= {"BUILDING", "FURNITURE"}, name
+    for company in COMPANIES:
+        assert sinks.load_zones(spark, f"{out}/saved_zones", company) is not None
+    every = spark.read.parquet(f"{out}/shift_detail")
+    assert every.count() == staged.shift_assignments.count()
+    assert every.where("shift_date < DATE '2023-07-01'").count() > 0
+
+
+def test_scratch_is_deleted_and_lookups_skip_files(spark, warehouse, tmp_path):
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")))
+    p = dataclasses.replace(P, as_of_ts=datetime(2024, 1, 31, 6))
+    refresh(marts(warehouse, p, COMPANIES), p, str(tmp_path), ["shifts_sent", "nearest_stores"])
+    with pytest.raises(ZeroDivisionError):
+        refresh({"broken": lambda: sinks.materialize(spark.range(1)).withColumn("x", F.lit(1 / 0))}, p, str(tmp_path))
+    assert set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))) == before
+    files = spark.read.parquet(f"{tmp_path}/shifts_sent").groupBy(F.input_file_name()).agg(F.min("partner_id").alias("lo"), F.max("partner_id").alias("hi"))
+    ranges = sorted((r.lo, r.hi) for r in files.collect())
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
+
+
 def test_same_results_as_from_staging(warehouse, staged):
     from crewline.plans import checks
 

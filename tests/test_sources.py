@@ -17,6 +17,22 @@ def test_declared_tables_round_trip(spark, tmp_path, name):
     assert tables.read(spark, name, path).schema.names == schemas.mart_schema(name).names
 
 
+@pytest.mark.parametrize("change, problem", [
+    (lambda d: d.drop("shift_title"), "shift_title is missing"),
+    (lambda d: d.withColumnRenamed("partner_id", "worker"), "partner_id is missing"),
+    (lambda d: d.withColumn("shift_date", F.col("shift_date").cast("string")), "shift_date is string"),
+    (lambda d: d.withColumn("payment", F.col("payment").dropFields("total_amount")), "payment.total_amount is missing"),
+])
+def test_files_that_differ_fail_early(spark, tmp_path, change, problem):
+    changed = change(spark.createDataFrame([], schemas.source_schema("shift_assignments")))
+    changed.write.parquet(str(tmp_path / "a"))
+    changed.createOrReplaceTempView("changed_assignments")
+    with pytest.raises(ValueError, match=problem):
+        tables.read(spark, "shift_assignments", str(tmp_path / "a"))
+    with pytest.raises(ValueError, match=problem):
+        tables.read_table(spark, "shift_assignments", "changed_assignments")
+
+
 def test_only_asked_columns_are_read(spark, tmp_path):
     path = str(tmp_path / "a")
     spark.createDataFrame([], schemas.source_schema("shift_assignments")).write.parquet(path)

@@ -59,6 +59,13 @@ def test_distance_is_rounded_before_the_radius(spark):
     assert [(r.store_number, r.distance_miles, r.stores_within_radius) for r in out] == [("10", 25.0, 2), ("7", 25.0, 2)]
 
 
+def test_one_home_per_partner_and_zero_rows(spark):
+    partner = spark.createDataFrame([("p", 0.0, 0.0), ("p", 1.0, 0.0), ("q", None, None)], "partner_id string, partner_lat double, partner_lng double")
+    shop = tables.conform(spark.createDataFrame([("7", "A", 1.0, 0.0, True)], "external_id string, company_name string, lat double, lng double, is_active boolean"), "locations")
+    out = sorted((r.partner_id, r.company_name, r["rank"] or 0, r.store_number, r.stores_within_radius, r.total_active_stores) for r in stores.nearest_stores(partner, shop, ["A", "B"]).collect())
+    assert out == [("p", "A", 1, "7", 1, 1), ("p", "B", 0, None, 0, 0)]
+
+
 def test_outlook_is_joined_on_company_and_store(spark):
     near = spark.createDataFrame([("p", "A", "1", "X", None), ("p", "B", "1", "X", "S")], "partner_id string, company_name string, store_number string, city string, state_code string")
     outlook = spark.createDataFrame([("A", "1", 4, date(2024, 2, 1))], "company_name string, store_number string, l7d_shifts bigint, next_shift_date date")
