@@ -92,7 +92,7 @@ def _search_block(k: int):
     def search(queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
         if len(queries) and len(shard):
-            width = max(queries["terms"].map(len).max(), shard["terms"].map(len).max())
+            width = int(max(queries["terms"].map(len).max(), shard["terms"].map(len).max()))
             largest = [max((max(map(abs, map(int, (np.min(t), np.max(t))))) if len(t) else 0) for t in side["terms"]) for side in (queries, shard)]
             bound = largest[0] * largest[1] * max(width, 1)
             kind = np.float64 if bound < EXACT else np.int64 if bound < SAFE else object
