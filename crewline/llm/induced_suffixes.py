@@ -77,6 +77,8 @@ def _scan(buckets: int):
             if not parts:
                 continue
             h, doc, first = (np.concatenate([q[i] for q in parts]) for i in range(3))
+            if not len(h):
+                continue
             order = np.lexsort((first, doc, h))
             h, doc, first = h[order], doc[order], first[order].astype(np.int32)
             again = np.append(False, h[1:] == h[:-1])

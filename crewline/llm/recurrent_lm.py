@@ -337,7 +337,7 @@ def _scored(shared, weights: bytes, p: Model):
             ones[known] = np.log(v.counts[listed[known]] + 1)
             static[~known] = -np.log(v.kind_mass[kind[~known]])
             per = lambda x: np.bincount(of, weights=x, minlength=len(sizes))
-            score = per(static)
+            score = per(static).astype(np.float64)
             order = np.argsort(-sizes, kind="stable")
             for first in range(0, len(order), 4096):
                 group = order[first : first + 4096]
