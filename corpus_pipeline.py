@@ -19,11 +19,11 @@ def _columns(frame: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is not predicted toxic. Empty texts, null ids and repeated rows are judged like all others."""
+    """Documents whose text does not score above 0.5, which is what a text without evidence gets. Empty texts, null ids and repeated rows are judged like all others."""
     p = toxicity.Ftrl()
     sample = toxicity.labelled_sample(docs, read_table(spark, sf_dir, "labels"), F.col("toxic"), p.max_rows)
     named = docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs
-    judged = toxicity.score(named, toxicity.train(sample, p), p).where("score < 0.5").drop("score")
+    judged = toxicity.score(named, toxicity.train(sample, p), p).where("score <= 0.5").drop("score")
     return _columns(judged.withColumnRenamed("__score", "score"), docs)
 
 

@@ -71,12 +71,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-FINE = "embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"
+FINE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
 ORACLES: dict[str, str] = {
     "op1_maxscore_top_k": f"""
 WITH terms AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS t FROM embeddings WHERE {FINE}
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS t FROM embeddings WHERE {FINE}
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.t, c.t) AS BIGINT) AS score
   FROM terms q JOIN terms c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
@@ -88,7 +88,7 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <
     "op3_cap_filter_dedup": f"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE {FINE} AND label IS NOT NULL AND len(list_filter(embedding, x -> x <> 0)) > 0
+  WHERE {FINE} AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links AS MATERIALIZED (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
@@ -104,19 +104,19 @@ FROM embeddings JOIN tops ON tops.id = vec_id LEFT JOIN counts ON counts.a = vec
     # Documents have distinct ids in the given tables.
     "op5_line_windows": """
 WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
 ), full_lines AS (
-  SELECT doc_id, at, trim(regexp_replace(line, '[\\t\\x0B\\f\\r]+', ' ', 'g'), ' ') AS line FROM lines
+  SELECT doc_id, pos, trim(regexp_replace(line, '[\\t\\x0B\\f\\r]+', ' ', 'g'), ' ') AS line FROM lines
 ), windows AS (
-  SELECT doc_id, at AS a1, lead(at, 1) OVER w AS a2, lead(at, 2) OVER w AS a3, line AS l1, lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3
-  FROM full_lines WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY at)
+  SELECT doc_id, pos AS a1, lead(pos, 1) OVER w AS a2, lead(pos, 2) OVER w AS a3, line AS l1, lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3
+  FROM full_lines WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
 ), later AS (
   SELECT *, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, a1) AS turn FROM windows WHERE a3 IS NOT NULL
 ), gone AS (
-  SELECT doc_id, a1 AS at FROM later WHERE turn > 1 UNION SELECT doc_id, a2 FROM later WHERE turn > 1 UNION SELECT doc_id, a3 FROM later WHERE turn > 1
+  SELECT doc_id, a1 AS pos FROM later WHERE turn > 1 UNION SELECT doc_id, a2 FROM later WHERE turn > 1 UNION SELECT doc_id, a3 FROM later WHERE turn > 1
 )
-SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(gone.at) AS INTEGER) AS n_removed,
-       coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE gone.at IS NULL), '') AS text
-FROM lines LEFT JOIN gone USING (doc_id, at) GROUP BY doc_id
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(gone.pos) AS INTEGER) AS n_removed,
+       coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE gone.pos IS NULL), '') AS text
+FROM lines LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id
 """,
 }
