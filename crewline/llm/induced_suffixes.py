@@ -9,12 +9,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from crewline.llm.common import materialize
 from crewline.llm.hashing import BASE, BYTE_KEYS, mix, powers, slices
 
 LENGTH = 100
 GRAM = 32
+# Contexts taken apart at a time; equal windows of as many meet before the shuffle.
+APART = 2000
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 
 
@@ -28,16 +32,17 @@ def anchors(raw: list[bytes], length: int = LENGTH, gram: int = GRAM):
     """The anchor of each window of ``length`` bytes: the place of its least ``gram``-byte hash.
 
     Equal windows have anchors of equal hash. Consecutive windows share anchors, so one row stands for a run of
-    windows: hash, text, first window (from the text's start) and number of windows.
+    windows: hash, text, first window (from the text's start), number of windows, and a hash of all their bytes.
     """
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
     n, span = len(data), length - gram + 1
     if n < length:
         none = np.zeros(0, np.int64)
-        return none.view(np.uint64), none, none, none
+        return none.view(np.uint64), none, none, none, none.view(np.uint64)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_KEYS[data] * powers(n), out=sums[1:])
-    h = mix((sums[gram:] - sums[:-gram]) * _inverse_powers(n)[: n - gram + 1])
+    back = _inverse_powers(n)
+    h = mix((sums[gram:] - sums[:-gram]) * back[: n - gram + 1])
     bits = np.uint64(max(1, int(n).bit_length()))
     ranked = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64)
     # Least of each stretch of ``span`` grams: from blocks of that size, the least up to and from each place.
@@ -54,11 +59,13 @@ def anchors(raw: list[bytes], length: int = LENGTH, gram: int = GRAM):
     whole = np.flatnonzero(np.arange(len(place)) + length <= ends[of])
     if not len(whole):
         none = np.zeros(0, np.int64)
-        return none.view(np.uint64), none, none, none
+        return none.view(np.uint64), none, none, none, none.view(np.uint64)
     p, t = place[whole], of[whole]
     opens = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (t[1:] != t[:-1]) | (whole[1:] != whole[:-1] + 1)))
     counts = np.diff(np.append(opens, len(whole)))
-    return h[p[opens]], t[opens], whole[opens] - starts[t[opens]], counts
+    begin = whole[opens]
+    around = (sums[begin + counts + length - 1] - sums[begin]) * back[begin] + counts.astype(np.uint64)
+    return h[p[opens]], t[opens], begin - starts[t[opens]], counts, around
 
 
 def _raw(texts: list[str | None]) -> list[bytes]:
@@ -72,13 +79,18 @@ def _scan(buckets: int):
             texts, parts = batch["text"].tolist(), []
             ids = batch["doc_id"].to_numpy(np.int64)
             for start, end in slices(texts):
-                h, t, first, _ = anchors(_raw(texts[start:end]))
-                parts.append((h, ids[start + t], first))
+                h, t, first, _, around = anchors(_raw(texts[start:end]))
+                parts.append((h, ids[start + t], first, around))
             if not parts:
                 continue
-            h, doc, first = (np.concatenate([q[i] for q in parts]) for i in range(3))
+            h, doc, first, around = (np.concatenate([q[i] for q in parts]) for i in range(4))
             if not len(h):
                 continue
+            # How many different contexts each hash has in the batch.
+            order = np.lexsort((around, h))
+            fresh = np.append(True, h[order][1:] != h[order][:-1])
+            other = fresh | np.append(True, around[order][1:] != around[order][:-1])
+            kinds = np.minimum(np.add.reduceat(other.astype(np.int64), np.flatnonzero(fresh)), 65535).astype(np.uint16)
             order = np.lexsort((first, doc, h))
             h, doc, first = h[order], doc[order], first[order].astype(np.int32)
             again = np.append(False, h[1:] == h[:-1])
@@ -90,69 +102,119 @@ def _scan(buckets: int):
             rows = []
             where = np.flatnonzero(sure)
             if len(where):
-                rows.append((-1, b"", doc[where].tobytes(), first[where].tobytes()))
+                rows.append((-1, b"", doc[where].tobytes(), first[where].tobytes(), b""))
             where = np.flatnonzero(lead)
-            where = where[np.argsort(bucket[where], kind="stable")]
+            turn = np.argsort(bucket[where], kind="stable")
+            where, kinds = where[turn], kinds[turn]
             cuts = np.flatnonzero(np.diff(bucket[where])) + 1
-            for own in np.split(where, cuts) if len(where) else []:
-                rows.append((int(bucket[own[0]]), key[own].tobytes(), doc[own].tobytes(), first[own].tobytes()))
-            yield pd.DataFrame(rows, columns=["bucket", "keys", "docs", "firsts"])
+            for own, many in zip(np.split(where, cuts), np.split(kinds, cuts)) if len(where) else []:
+                rows.append((int(bucket[own[0]]), key[own].tobytes(), doc[own].tobytes(), first[own].tobytes(), many.tobytes()))
+            yield pd.DataFrame(rows, columns=["bucket", "keys", "docs", "firsts", "kinds"])
 
     return run
 
 
-def _survivors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``doc_id, firsts`` of anchors whose hash is there twice. Buckets come one after another."""
+def _survivors(shard: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """``doc_id, firsts`` of anchors whose hash is there twice, and ``key`` of hashes whose contexts may exceed a shard. Buckets come one after another."""
 
-    def out(doc, first):
-        order = np.argsort(doc, kind="stable")
-        doc, first = doc[order], first[order]
-        cuts = np.flatnonzero(np.diff(doc)) + 1
-        return pd.DataFrame({"doc_id": doc[np.append(0, cuts)] if len(doc) else doc, "firsts": pd.Series(np.split(first, cuts) if len(doc) else [], dtype=object)})
+        def out(doc, first):
+            order = np.argsort(doc, kind="stable")
+            doc, first = doc[order], first[order]
+            cuts = np.flatnonzero(np.diff(doc)) + 1
+            ids = doc[np.append(0, cuts)] if len(doc) else doc
+            return pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64"), "firsts": pd.Series(np.split(first, cuts) if len(doc) else [], dtype=object), "key": pd.Series([None] * len(ids), dtype="Int64")})
 
-    def close(rows):
-        key, doc, first = (np.frombuffer(b"".join(r[i] for r in rows), kind) for i, kind in ((0, np.uint64), (1, np.int64), (2, np.int32)))
-        order = np.argsort(key, kind="stable")
-        again = np.append(False, np.diff(key[order]) == 0)
-        twice = order[again | np.append(again[1:], False)]
-        return out(doc[twice], first[twice])
+        def close(rows):
+            key, doc, first, kinds = (np.frombuffer(b"".join(r[i] for r in rows), kind) for i, kind in ((0, np.uint64), (1, np.int64), (2, np.int32), (3, np.uint16)))
+            order = np.argsort(key, kind="stable")
+            fresh = np.append(True, np.diff(key[order]) != 0)
+            again = ~fresh
+            twice = order[again | np.append(again[1:], False)]
+            found = out(doc[twice], first[twice])
+            opens = np.flatnonzero(fresh)
+            large = key[order][opens][np.add.reduceat(kinds[order].astype(np.int64), opens) * (2 * LENGTH - GRAM) > shard]
+            none = [None] * len(large)
+            return pd.concat((found, pd.DataFrame({"doc_id": pd.Series(none, dtype="Int64"), "firsts": pd.Series(none, dtype=object), "key": pd.Series(large.view(np.int64), dtype="Int64")})))
+
+        current, rows = None, []
+        for batch in batches:
+            for bucket, keys, docs, firsts, kinds in zip(batch["bucket"], batch["keys"], batch["docs"], batch["firsts"], batch["kinds"]):
+                if bucket < 0:
+                    yield out(np.frombuffer(docs, np.int64), np.frombuffer(firsts, np.int32))
+                    continue
+                if bucket != current and rows:
+                    yield close(rows)
+                    rows = []
+                current = bucket
+                rows.append((keys, docs, firsts, kinds))
+        if rows:
+            yield close(rows)
 
-    current, rows = None, []
-    for batch in batches:
-        for bucket, keys, docs, firsts in zip(batch["bucket"], batch["keys"], batch["docs"], batch["firsts"]):
-            if bucket < 0:
-                yield out(np.frombuffer(docs, np.int64), np.frombuffer(firsts, np.int32))
-                continue
-            if bucket != current and rows:
-                yield close(rows)
-                rows = []
-            current = bucket
-            rows.append((keys, docs, firsts))
-    if rows:
-        yield close(rows)
+    return run
 
 
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The bytes of all windows of each surviving anchor. Of equal ones in a batch only the first is compared; the others are repeats for certain."""
-    for batch in batches:
-        texts, out = batch["text"].tolist(), []
-        for start, end in slices(texts):
-            raw = _raw(texts[start:end])
-            h, t, first, count = anchors(raw)
-            rows = batch.iloc[start:end]
-            ids = rows["doc_id"].to_numpy(np.int64)
-            live = [np.asarray(f, np.int64) for f in rows["firsts"]]
-            wanted = np.concatenate([np.int64(i) << np.int64(40) | f for i, f in enumerate(live)]) if live else np.zeros(0, np.int64)
-            here = np.isin(t.astype(np.int64) << np.int64(40) | first, wanted)
-            for x, i, s, c in zip(h[here].view(np.int64), t[here], first[here], count[here]):
-                out.append((x, ids[i], s, c, raw[i][s : s + c + LENGTH - 1]))
-        rows = pd.DataFrame(out, columns=["hash", "doc_id", "first", "windows", "context"])
-        if len(rows):
-            rows = rows.sort_values(["doc_id", "first"], kind="stable")
-            # A repeated row is the same place and no earlier one.
-            rows = rows.drop_duplicates(["doc_id", "first", "context"])
-            rows.loc[rows.duplicated(["hash", "context"]), "context"] = None
-            yield rows
+COLUMNS = ["hash", "doc_id", "first", "windows", "context"]
+
+
+def _single_windows(rows: pd.DataFrame) -> pd.DataFrame:
+    """Contexts taken apart: of equal windows the earliest with its 128-bit hash, the others, joined where they follow one another, as repeats for certain."""
+    count = rows["windows"].to_numpy(np.int64)
+    hashes = b"".join(xxhash.xxh3_128_digest(c[i : i + LENGTH]) for c, n in zip(rows["context"], count) for i in range(n))
+    pair = np.frombuffer(hashes, np.int64).reshape(-1, 2)
+    doc = np.repeat(rows["doc_id"].to_numpy(np.int64), count)
+    first = np.repeat(rows["first"].to_numpy(np.int64), count) + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    order = np.lexsort((first, doc, pair[:, 1], pair[:, 0]))
+    pair, doc, first = pair[order], doc[order], first[order]
+    same = np.append(False, (pair[1:] == pair[:-1]).all(axis=1))
+    # A repeated row is the same place and no earlier one.
+    place = same & np.append(False, (doc[1:] == doc[:-1]) & (first[1:] == first[:-1]))
+    lead, later = ~same, same & ~place
+    digests = np.ascontiguousarray(pair[lead])
+    earliest = pd.DataFrame(dict(zip(COLUMNS, (digests[:, 0], doc[lead], first[lead], 1, [d.tobytes() for d in digests]))))
+    doc, first = doc[later], first[later]
+    order = np.lexsort((first, doc))
+    doc, first = doc[order], first[order]
+    opens = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (first[1:] > first[:-1] + 1))) if len(doc) else np.zeros(0, np.int64)
+    runs = first[np.append(opens[1:], len(first)) - 1] - first[opens] + 1 if len(doc) else opens
+    sure = pd.DataFrame(dict(zip(COLUMNS, (doc[opens], doc[opens], first[opens], runs, None))))
+    return pd.concat((earliest, sure)).astype({"context": object})
+
+
+def _contexts(large: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The bytes of all windows of each surviving anchor. Of equal ones in a batch only the first is compared; the others are repeats for certain.
+
+        Where contexts of a hash would exceed a shard (``large``), single windows are dealt, each by its own hash.
+        """
+        for batch in batches:
+            texts, out = batch["text"].tolist(), []
+            for start, end in slices(texts):
+                raw = _raw(texts[start:end])
+                h, t, first, count, _ = anchors(raw)
+                rows = batch.iloc[start:end]
+                ids = rows["doc_id"].to_numpy(np.int64)
+                live = [np.asarray(f, np.int64) for f in rows["firsts"]]
+                wanted = np.concatenate([np.int64(i) << np.int64(40) | f for i, f in enumerate(live)]) if live else np.zeros(0, np.int64)
+                here = np.isin(t.astype(np.int64) << np.int64(40) | first, wanted)
+                for x, i, s, c in zip(h[here].view(np.int64), t[here], first[here], count[here]):
+                    out.append((x, ids[i], s, c, raw[i][s : s + c + LENGTH - 1]))
+            rows = pd.DataFrame(out, columns=COLUMNS)
+            if len(rows):
+                rows = rows.sort_values(["doc_id", "first"], kind="stable")
+                # A repeated row is the same place and no earlier one.
+                rows = rows.drop_duplicates(["doc_id", "first", "context"])
+                known = rows.duplicated(["hash", "context"])
+                rows.loc[known, "context"] = None
+                # Nothing is compared with them, so they need not meet.
+                rows.loc[known, "hash"] = mix(rows.loc[known, "doc_id"].to_numpy(np.int64).view(np.uint64)).view(np.int64)
+                apart = ~known.to_numpy() & np.isin(rows["hash"].to_numpy(np.int64).view(np.uint64) >> np.uint64(24), large)
+                yield rows[~apart]
+                rows = rows[apart]
+                for at in range(0, len(rows), APART):
+                    yield _single_windows(rows.iloc[at : at + APART])
+
+    return run
 
 
 class Spool:
@@ -348,6 +410,9 @@ def _sorted_shards(size: int):
             rows = rows.sort_values(["doc_id", "first"], kind="stable").drop_duplicates(["doc_id", "first", "context"])
             known = rows.duplicated("context")
             spans, rows = whole(rows[known]), rows[~known]
+            rows = rows[rows["context"].map(len) >= LENGTH]  # a single window that is left has no equal
+            if not len(rows):
+                return spans
             with tempfile.TemporaryDirectory() as folder:
                 found = _repeats(*[rows[c].to_numpy(np.int64) for c in ("doc_id", "first", "windows")], rows["context"].tolist(), folder)
             return pd.concat((spans, pd.DataFrame(dict(zip(("doc_id", "begin", "end"), found)))))
@@ -416,6 +481,8 @@ def repeated_spans(documents: DataFrame, shard: int = 2 << 20) -> DataFrame:
 
     1. Each window of 100 bytes has an anchor; only anchors whose hash is there twice can belong to a repeat.
     2. The bytes around those anchors (at most about 170 each) are dealt by the anchor's hash, so equal windows meet.
+       Where those of one hash may exceed a shard, which is known from the first step, each window is dealt alone by its own
+       128-bit hash, equal ones of a few thousand contexts folded before.
     3. A shard of them is put in order by induced suffix sorting, with its queues on disk when they are large; windows that
        share 100 bytes lie side by side, and all but the earliest are repeats.
     Contexts that are equal within a batch are settled there, so a passage that very many documents share sends one row per batch.
@@ -423,12 +490,14 @@ def repeated_spans(documents: DataFrame, shard: int = 2 << 20) -> DataFrame:
     spark = documents.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = _ordered(documents)
-    packed = texts.mapInPandas(_scan(buckets), "bucket long, keys binary, docs binary, firsts binary")
+    packed = texts.mapInPandas(_scan(buckets), "bucket long, keys binary, docs binary, firsts binary, kinds binary")
     spread = F.when(F.col("bucket") < 0, F.xxhash64("docs")).otherwise(F.col("bucket"))
     dealt = packed.repartition(buckets // 4, spread).sortWithinPartitions("bucket")
-    found = dealt.mapInPandas(_survivors, "doc_id long, firsts array<int>")
-    found = found.groupBy("doc_id").agg(F.flatten(F.collect_list("firsts")).alias("firsts"))
-    rows = texts.join(found, "doc_id").mapInPandas(_contexts, "hash long, doc_id long, first long, windows long, context binary")
+    known = materialize(dealt.mapInPandas(_survivors(shard), "doc_id long, firsts array<int>, key long"))
+    # At most one key for each shard that all contexts would fill.
+    large = np.array(sorted(r["key"] for r in known.where("key IS NOT NULL").select("key").collect()), np.uint64)
+    found = known.where("key IS NULL").groupBy("doc_id").agg(F.flatten(F.collect_list("firsts")).alias("firsts"))
+    rows = texts.join(found, "doc_id").mapInPandas(_contexts(large), "hash long, doc_id long, first long, windows long, context binary")
     rows = rows.repartition(buckets // 4, "hash").sortWithinPartitions("hash")
     return rows.mapInPandas(_sorted_shards(shard), "doc_id long, begin long, end long")
 

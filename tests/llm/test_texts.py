@@ -9,6 +9,7 @@ import tempfile
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -242,6 +243,29 @@ def test_remove_repeats_of_odd_rows(spark):
     assert induced_suffixes.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_windows_of_a_common_passage(spark):
+    r = random.Random(7)
+    passage = "".join(r.choices("abcdefgh ", k=140))
+    texts = [(i, "".join(r.choices("klmnopqr ", k=150)) + (passage if i % 3 else passage[:120]) + "".join(r.choices("stuvwxyz ", k=150))) for i in range(300)]
+    texts += [(300, passage * 3), (301, texts[5][1]), (302, "a" * 700), (303, "a" * 650)]
+    frame, shard = table(spark, texts + texts[:20]), 1 << 13
+    spans = induced_suffixes.repeated_spans(frame, shard).collect()
+    raw, first = {i: t.encode() for i, t in texts}, {}
+    for i in sorted(raw):
+        for s in range(len(raw[i]) - 99):
+            first.setdefault(raw[i][s : s + 100], (i, s))
+    want = {(i, s) for i, x in raw.items() for s in range(len(x) - 99) if first[x[s : s + 100]] != (i, s)}
+    assert {(d, s) for d, b, e in spans for s in range(b, e - 99)} == want
+    # Contexts of one anchor exceed the shard; taken apart, what meets by a hash does not.
+    rows = induced_suffixes._contexts
+    seen = pd.DataFrame({"doc_id": [i for i, _ in texts], "text": [t for _, t in texts], "firsts": [np.arange(len(t)) for _, t in texts]})
+    whole = pd.concat(rows(np.zeros(0, np.uint64))(iter([seen]))).dropna(subset=["context"])
+    sizes = whole["context"].map(len).groupby(whole["hash"]).sum()
+    large = np.unique(sizes.index[sizes > shard].to_numpy(np.int64).view(np.uint64) >> np.uint64(24))
+    apart = pd.concat(rows(large)(iter([seen]))).dropna(subset=["context"])
+    assert sizes.max() > shard > apart["context"].map(len).groupby(apart["hash"]).sum().max()
+
+
 def test_mixing(spark):
     documents, labels = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "labels"))
     labelled = mixing.language_and_quality(documents, labels)
