@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by external induced suffix sorting of the places that can repeat."""
+"""Removal of repeated byte strings by induced suffix sorting, in memory by shards, of the places that can repeat."""
 
 from __future__ import annotations
 
@@ -483,7 +483,7 @@ def repeated_spans(documents: DataFrame, shard: int = 2 << 20) -> DataFrame:
     2. The bytes around those anchors (at most about 170 each) are dealt by the anchor's hash, so equal windows meet.
        Where those of one hash may exceed a shard, which is known from the first step, each window is dealt alone by its own
        128-bit hash, equal ones of a few thousand contexts folded before.
-    3. A shard of them is put in order by induced suffix sorting, with its queues on disk when they are large; windows that
+    3. A shard of them is put in order by induced suffix sorting, in memory; windows that
        share 100 bytes lie side by side, and all but the earliest are repeats.
     Contexts that are equal within a batch are settled there, so a passage that very many documents share sends one row per batch.
     """
