@@ -37,10 +37,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word n-grams at 0.8 the one with the smallest id, once; documents without words or id stay."""
-    groups = trie_join.ngram_groups(docs, NEAR)
-    later = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(later, "doc_id", "left_anti")
+    """Of each group of documents linked by five-word n-grams at 0.8 one row with the smallest id; documents without words or id stay.
+
+    Rows are numbered in order of their ids and judged by number, so rows that share an id are judged each by its own text.
+    """
+    numbered = materialize(docs.orderBy("doc_id", F.xxhash64("text")).withColumn("__row", F.monotonically_increasing_id()))
+    rows = numbered.where("doc_id IS NOT NULL").select(F.col("__row").alias("doc_id"), "text")
+    groups = trie_join.ngram_groups(rows, NEAR)
+    later = materialize(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__row")).distinct())
+    kept = numbered.join(later, "__row", "left_anti")
     return _columns(kept, docs)
 
 

@@ -30,6 +30,13 @@ def test_pipeline(spark):
     assert docs.where("NOT round_trip").count() == 0
 
 
+def test_near_copies_are_judged_by_row(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (1, a), (2, a), (2, b), (3, b + " end"), (None, a), (4, ""), (4, "")]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a), (2, b), (None, a), (4, ""), (4, "")], key=str)
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "a b\nc\nd", "de", "s", 7)]])
 def test_stages_on_odd_tables(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
