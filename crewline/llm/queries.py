@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from crewline.llm import capfilters, induced_suffixes, linewindows, maxscore, mixing, recurrent_lm, sentencepiece_lattice, templates, toxicity, trie_join
+from crewline.llm import capfilters, induced_suffixes, linewindows, maxscore, mixing, recurrent_lm, sentencepiece_lattice, templates, toxicity, trie_join, url_reputation
 from crewline.llm.common import read_table
 
 
@@ -57,6 +57,10 @@ def op10_induced_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return induced_suffixes.remove_repeats(read_table(spark, folder, "documents")).drop("kept")
 
 
+def op13_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
+    return url_reputation.judge(read_table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_maxscore_top_k": op1_maxscore_top_k,
     "op2_template_extraction": op2_template_extraction,
@@ -68,9 +72,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_recurrent_lm": op9_recurrent_lm,
     "op10_induced_suffixes": op10_induced_suffixes,
+    "op13_url_reputation": op13_url_reputation,
     "pipeline": corpus_pipeline.run,
 }
 
+def _strength(name: str, level: str) -> str:
+    """The prior strength of a level as ``url_reputation._strength`` estimates it."""
+    r = url_reputation
+    return f"""{name} AS (
+  SELECT CASE WHEN w IS NULL OR w = 0 OR s IS NULL THEN {r.STRENGTH_DEFAULT} WHEN (s - v) / w <= 0 THEN {r.STRENGTH_MAX}
+              ELSE least({r.STRENGTH_MAX}, greatest({r.STRENGTH_MIN}, 1 / ((s - v) / w) - 1)) END AS k
+  FROM (SELECT sum(n * (bad / n - m) ** 2) AS s, sum(m * (1 - m)) AS v, sum(m * (1 - m) * (n - 1)) AS w FROM {level} WHERE n > 0)
+)"""
+
+
 FINE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
 ORACLES: dict[str, str] = {
@@ -118,5 +133,42 @@ WITH lines AS (
 SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(gone.pos) AS INTEGER) AS n_removed,
        coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE gone.pos IS NULL), '') AS text
 FROM lines LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id
+""",
+    "op13_url_reputation": f"""
+WITH split AS (
+  SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), hp AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split
+), rules(verdict, rhost, rpath) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), fits AS (
+  SELECT page_id, rhost || rpath AS rule, verdict,
+         row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rhost || rpath) DESC, verdict = 'block' DESC, rhost || rpath DESC) AS r
+  FROM hp JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+), judged AS (
+  SELECT hp.page_id, host, path, f.rule, f.verdict AS rule_verdict FROM hp LEFT JOIN (SELECT * FROM fits WHERE r = 1) f USING (page_id)
+), hosts AS (
+  SELECT host, count(rule_verdict)::DOUBLE AS n, sum(CASE WHEN rule_verdict = 'block' THEN 1 ELSE 0 END)::DOUBLE AS bad,
+         CASE WHEN len(string_split(host, '.')) >= 2 THEN array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') ELSE host END AS domain,
+         string_split(host, '.')[-1] AS suffix
+  FROM judged GROUP BY host
+), top AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m, coalesce(sum(n), 0) + 2 AS sure FROM hosts),
+suf AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT m FROM top) AS m FROM hosts GROUP BY suffix),
+{_strength("k1", "suf")},
+suf2 AS (SELECT suffix, (m * least(k, sure) + bad) / (least(k, sure) + n) AS suffix_mean, least(k, sure) + n AS suffix_sure FROM suf, k1, (SELECT sure FROM top)),
+dom AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
+dom1 AS (SELECT dom.*, suffix_mean AS m, suffix_sure FROM dom JOIN suf2 USING (suffix)),
+{_strength("k2", "dom1")},
+dom2 AS (SELECT domain, suffix, (m * least(k, suffix_sure) + bad) / (least(k, suffix_sure) + n) AS domain_mean, least(k, suffix_sure) + n AS domain_sure FROM dom1, k2),
+host1 AS (SELECT hosts.host, hosts.n, hosts.bad, domain_mean AS m, domain_sure FROM hosts JOIN dom2 USING (domain, suffix)),
+{_strength("k3", "host1")},
+post AS (
+  SELECT host, m * least(k, domain_sure) + bad AS a, (1 - m) * least(k, domain_sure) + n - bad AS b FROM host1, k3
+), bounds AS (
+  SELECT host, a / (a + b) - {url_reputation.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower FROM post
+)
+SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN lower >= {url_reputation.BOUND} THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged LEFT JOIN bounds USING (host)
 """,
 }
