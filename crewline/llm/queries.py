@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from crewline.llm import capfilters, induced_suffixes, linewindows, maxscore, mixing, recurrent_lm, sentencepiece_lattice, periodic_runs, templates, toxicity, trie_join, url_reputation
+from crewline.llm import capfilters, codebooks, induced_suffixes, linewindows, maxscore, mixing, recurrent_lm, sentencepiece_lattice, periodic_runs, templates, toxicity, trie_join, url_reputation
 from crewline.llm.common import read_table
 
 
@@ -57,6 +57,10 @@ def op10_induced_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return induced_suffixes.remove_repeats(read_table(spark, folder, "documents")).drop("kept")
 
 
+def op11_adaptive_codebooks(spark: SparkSession, folder: str) -> DataFrame:
+    return codebooks.coded(read_table(spark, folder, "embeddings")).drop("label")
+
+
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.find_runs(read_table(spark, folder, "documents")))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_recurrent_lm": op9_recurrent_lm,
     "op10_induced_suffixes": op10_induced_suffixes,
+    "op11_adaptive_codebooks": op11_adaptive_codebooks,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_url_reputation": op13_url_reputation,
     "pipeline": corpus_pipeline.run,
