@@ -3,18 +3,24 @@
 ``python -m crewline.refresh --base /lake/raw --out /lake/marts --company "..." --as-of 2024-01-31T06:00``
 
 Each mart is a Parquet table partitioned by ``as_of``, the client marts by ``company`` as well; running a day again
-replaces that day (and company) only. ``--company`` may be repeated. Rows are ranged and sorted by the key of their
-look-ups, so file statistics let a look-up of one partner, zone or shift skip files. Scratch copies of a run are deleted at its end.
+replaces that day (and company) only, also when the new result is empty: a mart is written to a staging folder
+beside the table and swapped in for its partition (``Publisher``). Marts that other marts are built from
+(offers, bonuses, assignments, nearest stores, funnel v2, zone lists) are published first and read back from the
+table, so every mart is computed and written once. ``--company`` may be repeated. Rows are ranged and sorted by the
+key of their look-ups (``LAYOUT``), and point look-ups get Parquet bloom filters, so file statistics and filters
+let a look-up of one partner, zone, store or shift skip files and row groups. Scratch copies of a run are deleted
+at its end.
 """
 
 from __future__ import annotations
 
 import argparse
+import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crewline.operators import calendars, counts
 from crewline.params import FunnelParams
@@ -31,6 +37,14 @@ CLIENT = frozenset(
 # Columns by which a mart is looked up, the first that it has; newest rows of a partner first where it has days.
 LOOKUP = ("partner_id", "shift_id", "zone_hex", "zone_description")
 NEWEST = ("ds", "shift_start", "shift_date", "updated_at")
+# Marts whose look-ups are not by the first of LOOKUP: the columns rows are ranged and sorted by.
+LAYOUT = {
+    "shift_detail": ("shift_id",),
+    "market_shifts": ("company_name", "zone", "shift_date", "store_number"),
+}
+# Columns looked up by one value: a Parquet bloom filter per row group lets a reader skip row groups whose
+# range holds the value but whose rows do not.
+BLOOM = ("shift_id", "store_number", "partner_id")
 
 
 @dataclass(frozen=True)
@@ -56,8 +70,13 @@ def marts(
     cleared_tag: str = funnel.dims.CLEARED_TAG,
     checks_tie: Sequence[str] = checks.TIE,
     windows: Windows = Windows(),
+    publish: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None,
 ) -> dict[str, Callable[[], DataFrame]]:
-    """Builders by mart name. Frames that several marts need are written once, when first asked for."""
+    """Builders by mart name. Frames that several marts need are written once, when first asked for.
+
+    With ``publish``, a mart that other marts are built from is published as itself and read back from the
+    table; without it (queries and tests), it is kept in a scratch copy.
+    """
     kept: dict[str, DataFrame] = {}
     first, last = windows.days(p)
     start, end = (datetime.combine(day, datetime.min.time()) for day in (first, last))
@@ -67,27 +86,34 @@ def marts(
             kept[name] = sinks.materialize(build())
         return kept[name]
 
+    def shared(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if publish is None:
+            return once(name, build)
+        if name not in kept:
+            kept[name] = publish(name, build)
+        return kept[name]
+
     def coded():
         return once("coded", lambda: funnel.cohorted(src, p, checks_tie))
 
     def v2():
-        return once("v2", lambda: funnel.funnel_v2_overrides(src["partner_throughput"], src["user_certs"], src["bgc_override"], p, cleared_tag))
+        return shared("funnel_v2", lambda: funnel.funnel_v2_overrides(src["partner_throughput"], src["user_certs"], src["bgc_override"], p, cleared_tag))
 
     def client_rows():
         window = shifts.shift_filter(src["shift_assignments"], p.company, windows.since(p), p.as_of_date)
         return once("client", lambda: zones.zone_rows(window))
 
     def sent():
-        return once("sent", lambda: partners.shifts_sent(src["user_shifts"], start, end, p.as_of_ts, names))
+        return shared("shifts_sent", lambda: partners.shifts_sent(src["user_shifts"], start, end, p.as_of_ts, names))
 
     def own_bonuses():
-        return once("bonuses", lambda: bonuses.partner_bonuses(src["bonus_eligible_users"], src["bonus_progress"], names))
+        return shared("partner_bonuses", lambda: bonuses.partner_bonuses(src["bonus_eligible_users"], src["bonus_progress"], names))
 
     def assigned():
-        return once("assigned", lambda: partners.assignments(src["shift_assignments"], first, last))
+        return shared("assignments", lambda: partners.assignments(src["shift_assignments"], first, last))
 
     def near():
-        return once("near", lambda: stores.nearest_stores(src["partner_throughput"], src["locations"], companies))
+        return shared("nearest_stores", lambda: stores.nearest_stores(src["partner_throughput"], src["locations"], companies))
 
     return {
         "target_markets": lambda: markets.target_markets(src["supply_daily_position"], src["store_crm"], p),
@@ -121,30 +147,80 @@ def marts(
         "zone_summary": lambda: zones.zone_summary(client_rows()),
         "store_summary": lambda: zones.store_summary(client_rows()),
         "zone_kpis": lambda: counts.shift_kpis(client_rows()),
-        "zone_list": lambda: zones.zone_list(src["supply_daily_position"], src["locations"], None, p.as_of_date),
+        "zone_list": lambda: shared("zone_list", lambda: zones.zone_list(src["supply_daily_position"], src["locations"], None, p.as_of_date)),
     }
 
 
-def _clustered(df: DataFrame) -> DataFrame:
-    keys = [c for c in LOOKUP if c in df.columns][:1]
+def _clustered(df: DataFrame, name: str = "") -> DataFrame:
+    keys = [c for c in LAYOUT.get(name, ()) if c in df.columns] or [c for c in LOOKUP if c in df.columns][:1]
     if not keys:
         return df
     newest = [F.desc(c) for c in NEWEST if c in df.columns and keys == ["partner_id"]][:1]
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys, *newest)
 
 
-def refresh(builders: Mapping[str, Callable[[], DataFrame]], p: FunnelParams, out: str, only: Iterable[str] = ()) -> None:
-    """Write the marts named, or all; scratch copies made on the way are deleted, also after a failure."""
+class Publisher:
+    """Writes one mart partition (``as_of``, and ``company`` for client marts) and swaps it in.
+
+    The rows go to a staging folder beside the table first; then the old partition folder is moved aside,
+    the new one moved in and the old one deleted. An empty result replaces the partition as well (its folder
+    holds a file with the schema and no rows). Both folders are on the table's file system, so the moves are
+    renames. ``published`` lists the marts written by this publisher.
+    """
+
+    def __init__(self, spark: SparkSession, out: str, p: FunnelParams):
+        self.spark, self.base, self.p = spark, out.rstrip("/"), p
+        self.published: list[str] = []
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        self._fs = self._path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def partition(self, name: str) -> str:
+        parts = [f"as_of={self._escape(str(self.p.as_of_date))}"]
+        if name in CLIENT:
+            parts.append(f"company={self._escape(self.p.company)}")
+        return "/".join([self.base, name, *parts])
+
+    def __call__(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        df = _clustered(build(), name)
+        staging = f"{self.base}/_staging/{name}-{uuid.uuid4().hex}"
+        writer = df.write.mode("overwrite")
+        for column in BLOOM:
+            if column in df.columns:
+                writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(staging)
+        target, aside = self._path(self.partition(name)), self._path(f"{staging}-old")
+        self._fs.mkdirs(target.getParent())
+        moved = self._fs.exists(target) and self._fs.rename(target, aside)
+        if not self._fs.rename(self._path(staging), target):
+            if moved:
+                self._fs.rename(aside, target)
+            raise OSError(f"could not publish {name} to {target}")
+        if moved:
+            self._fs.delete(aside, True)
+        self.published.append(name)
+        return self.spark.read.schema(df.schema).parquet(self.partition(name))
+
+
+def refresh(builders: Mapping[str, Callable[[], DataFrame]], p: FunnelParams, out: str, only: Iterable[str] = (), publisher: Publisher | None = None) -> None:
+    """Write the marts named, or all; scratch copies made on the way are deleted, also after a failure.
+
+    ``builders`` made with ``publish=publisher`` publish their shared marts when first asked for; those are
+    not written again.
+    """
     base = out.rstrip("/")
     with scratch():
+        publish = publisher or Publisher(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate(), base, p)
         for name in list(only) or builders:
-            df = _clustered(builders[name]()).withColumn("as_of", F.lit(p.as_of_date))
-            by = ["as_of"]
-            if name in CLIENT:
-                df, by = df.withColumn("company", F.lit(p.company)), ["as_of", "company"]
-            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{base}/{name}")
+            if name in publish.published:
+                df = publish.spark.read.parquet(publish.partition(name))
+            else:
+                df = builders[name]()  # a shared mart publishes itself here
+                if name not in publish.published:
+                    df = publish(name, lambda built=df: built)
             if name == "zone_list":
-                sinks.save_zones(builders[name](), f"{base}/saved_zones", p.as_of_ts)
+                sinks.save_zones(df, f"{base}/saved_zones", p.as_of_ts)
 
 
 def main() -> None:
@@ -165,10 +241,11 @@ def main() -> None:
     windows = Windows(given.back, given.ahead, given.summary)
     for i, company in enumerate(given.company):
         p = FunnelParams(company, given.as_of.date(), given.as_of)
-        builders = marts(src, p, given.store_company or given.company, windows=windows)
+        publisher = Publisher(spark, given.out, p)
+        builders = marts(src, p, given.store_company or given.company, windows=windows, publish=publisher)
         wanted = [m for m in given.mart or builders if i == 0 or m in CLIENT]
         if wanted:
-            refresh(builders, p, given.out, wanted)
+            refresh(builders, p, given.out, wanted, publisher)
 
 
 if __name__ == "__main__":
