@@ -31,9 +31,16 @@ def _checked(found: T.StructType, name: str, where: str) -> None:
 
 
 def read(spark: SparkSession, name: str, path: str, columns: Iterable[str] | None = None) -> DataFrame:
-    """Scan a declared table from Parquet, with the column names of the marts; fails early when the files differ from what is declared."""
+    """Scan a declared table from Parquet, with the column names of the marts; fails early when the files differ from what is declared.
+
+    The folder may be partitioned by declared columns (``date`` of the supply positions, ``ds`` of the
+    reliability snapshots): filters on them become partition filters, also a latest-day scalar subquery,
+    which prunes the days when it runs.
+    """
     _checked(spark.read.parquet(path).schema, name, path)
-    df = spark.read.schema(schemas.source_schema(name)).parquet(path)
+    declared = schemas.source_schema(name)
+    # A table partitioned by a declared column (a snapshot day) lists it last; keep the declared order.
+    df = spark.read.schema(declared).parquet(path).select(*declared.names)
     df = df.withColumnsRenamed(schemas.renames(name))
     return df.select(*columns) if columns else df
 
