@@ -25,6 +25,24 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: str, tie: Sequence
     return top_k_per_group(df, keys, [F.col(name).desc() for name in (order, *tie)], 1)
 
 
+def merge_latest(state: DataFrame, events: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str] = ()) -> DataFrame:
+    """Yesterday's latest row per key brought up to date with the day's events.
+
+    Equal to ``latest_per_key`` over all events so far, late events (older ``order`` than the kept row) and
+    repeated events included, wherever the ``order`` and ``tie`` columns tell rows apart. Only keys with events
+    of the day are decided again: the state meets their keys in a semi and an anti join, so it is scanned
+    but not shuffled while the day's keys are small enough to broadcast (AQE decides from their measured
+    size), and the new decision groups only the rows of those keys. Null keys are keys like any other.
+    ``events`` may have more columns; those of ``state`` are kept.
+    """
+    fresh = latest_per_key(events.select(*state.columns), keys, order, tie)
+    touched = fresh.select(*keys).distinct()
+    same = lambda left, right: [left[k].eqNullSafe(right[k]) for k in keys]
+    old = state.join(touched, same(state, touched), "left_semi")
+    kept = state.join(touched, same(state, touched), "left_anti")
+    return kept.unionByName(latest_per_key(old.unionByName(fresh), keys, order, tie))
+
+
 def dedup_latest(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
     """Latest row per key, reduced to ``columns``: one row per key, so no DISTINCT is left to do."""
     return latest_per_key(df, keys, order, tie).select(*keys, *[c for c in columns if c not in keys])

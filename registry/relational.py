@@ -616,6 +616,17 @@ def latest_per_key(s: Staged):
     return latest.latest_per_key(s.background_checks, ["partner_id"], "updated_at", EVENT_TIE).select("partner_id", "event_id", "result")
 
 
+@check("SELECT partner_id, event_id, result FROM o_last")
+def latest_merged(s: Staged):
+    """The latest check per partner kept up day by day: the state of the day before the last, merged with the last day."""
+    rows = s.background_checks
+    cut = F.lit(P.day(-1)).cast("timestamp_ntz")
+    before = latest.latest_per_key(rows.where(F.col("updated_at") < cut), ["partner_id"], "updated_at", EVENT_TIE)
+    day = rows.where(~(F.col("updated_at") < cut) | F.col("updated_at").isNull())
+    merged = latest.merge_latest(before, day, ["partner_id"], "updated_at", EVENT_TIE)
+    return merged.select("partner_id", "event_id", "result")
+
+
 @check("SELECT partner_id, event_id, event FROM o_adj")
 def latest_after_filter(s: Staged):
     rows = s.background_checks
