@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from crewline.operators import calendars, counts
+from crewline.operators import bitmaps, calendars, counts
 from crewline.plans import checks, funnel, markets, partners, shifts, stores, zones
 from registry.core import COMPANIES, EVENT_TIE, NAMES, P, check, day, moment
 from registry.relational import (
@@ -295,6 +295,22 @@ def market_shift_kpis(s: Staged):
     return exact.withColumn("rule", F.lit("exact"))
 
 
+# The completion statuses that the market page filters by.
+STATUSES = ("Completed", "No Show", "Canceled", "Assigned")
+_FILTERS = ", ".join(f"('{f}', '{v}')" for f, v in bitmaps.choices(STATUSES))
+
+
+@check(
+    MARKET_SQL + f""", f(filter, completion_status) AS (VALUES {_FILTERS})
+SELECT filter, COUNT(DISTINCT partner_id) AS unique_partners, COUNT(DISTINCT store_number) AS store_count
+FROM m_all JOIN f USING (completion_status) WHERE {CLIENT.replace('DATE ', '')} GROUP BY filter"""
+)
+def status_distinct_counts(s: Staged):
+    """Distinct partners and stores of the client's shifts for every choice of statuses, from bitmaps."""
+    rows = shifts.market_shifts(shifts.shift_filter(s.shift_assignments, "BUILDING", FIRST, LAST))
+    return bitmaps.under_filters(rows, "completion_status", STATUSES, {"unique_partners": "partner_id", "store_count": "store_number"})
+
+
 @check(
     f"""SELECT shift_id, partner_id, company_name, {day('shift_date')} AS shift_date, shift_title, {moment('start_at')} AS shift_start, store_number, store_name,
           TRIM(COALESCE(first_name, '') || ' ' || COALESCE(last_name, '')) AS partner_name, is_completed, is_noshow, is_canceled, CAST(total_amount AS DOUBLE) AS total_amount,
