@@ -244,6 +244,44 @@ def funnel_kpis(roster: DataFrame, code: str = "partner_cohort", choices: Mappin
     )
 
 
+KPI_GROUPS = {
+    "s1c_assigned": ["S1C, Assigned"],
+    "s1c_not_assigned": ["S1C, Not Assigned"],
+    "bgc_passed": ["BGC Passed, Not S1C"],
+    "op_pending_bgc": ["OP, Not BGC Finalized"],
+    "pre_op": ["OA, Not OP", "Not OA"],
+}
+CUBE = ("zone_description", "city", "priority_cohort_l2")
+
+
+def funnel_cube(roster: DataFrame, code: str = "partner_cohort") -> DataFrame:
+    """Pipeline counts for every choice of zone, city and L2 class at once (a CUBE of the three).
+
+    ``gid`` tells which of ``CUBE`` are chosen (bit set: that column is rolled up, as ``grouping_id``), so
+    a null of the data and "any" stay apart. A filter on several classes is the sum of the rows of those
+    classes with the same zone and city choice (``kpis_for``). One shuffle of the cube's rows, which are
+    few: partners are combined on the map side.
+    """
+    group = rules.cohort_l1(F.col(code))
+    counts = [F.count(F.lit(1)).alias("total_pipeline"), *[F.count_if(group.isin(g)).alias(n) for n, g in KPI_GROUPS.items()]]
+    return roster.cube(*CUBE).agg(F.grouping_id().cast("long").alias("gid"), *counts)
+
+
+def kpis_for(cube: DataFrame, zone: str | None = None, city: str | None = None, classes: Sequence[str] = ()) -> DataFrame:
+    """The one row of ``funnel_kpis`` under the page's filters, summed from ``funnel_cube`` rows."""
+    chosen = {"zone_description": zone, "city": city}
+    rolled = {"zone_description": zone is None, "city": city is None, "priority_cohort_l2": not classes}
+    gid = sum(1 << (len(CUBE) - 1 - i) for i, c in enumerate(CUBE) if rolled[c])
+    rows = cube.where(F.col("gid") == gid)
+    for column, value in chosen.items():
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
+    if classes:
+        rows = rows.where(F.col("priority_cohort_l2").isin(list(classes)))
+    names = ["total_pipeline", *KPI_GROUPS]
+    return rows.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in names])
+
+
 def funnel_breakdown(roster: DataFrame, code: str = "partner_cohort", choices: Mapping | None = None) -> DataFrame:
     """Counts and shares per cohort and group.
 

@@ -145,6 +145,19 @@ def funnel_kpis(s: Staged):
     return funnel.funnel_kpis(funnel.funnel_v2_overrides(_stored(s), s.user_certs, s.bgc_override, P, cleared_tag="tag_2"))
 
 
+@check(
+    OVERRIDE_SQL
+    + f"""SELECT zone_description, city, priority_cohort_l2, CAST(GROUPING(zone_description, city, priority_cohort_l2) AS BIGINT) AS gid,
+           COUNT(*) AS total_pipeline, COUNT(*) FILTER (new_code[1:2] BETWEEN '01' AND '04') AS s1c_assigned, COUNT(*) FILTER (new_code[1:2] BETWEEN '05' AND '07') AS s1c_not_assigned,
+           COUNT(*) FILTER (new_code[1:2] BETWEEN '08' AND '11') AS bgc_passed, COUNT(*) FILTER (new_code[1:2] BETWEEN '12' AND '15') AS op_pending_bgc,
+           COUNT(*) FILTER (new_code[1:2] BETWEEN '16' AND '21') AS pre_op
+    FROM (SELECT *, city_description AS city FROM v_over) WHERE priority_cohort_l2 <> 'C9: Other' GROUP BY CUBE (zone_description, city, priority_cohort_l2)"""
+)
+def funnel_kpi_cube(s: Staged):
+    """Funnel KPIs for every choice of zone, city and class of the funnel page, from one cube."""
+    return funnel.funnel_cube(funnel.funnel_v2_overrides(_stored(s), s.user_certs, s.bgc_override, P, cleared_tag="tag_2"))
+
+
 @check(
     """WITH w_rows AS (SELECT c.cohort, r.cohort_l1, r.priority_cohort_l2 FROM o_coded c JOIN o_roster r ON r.partner_id = c.partner_id WHERE c.priority_cohort_l2 LIKE 'C2%'),
        w_roll AS (SELECT cohort_l1, cohort, COUNT(*) AS partners, CAST(GROUPING(cohort_l1, cohort) AS BIGINT) AS level FROM w_rows GROUP BY ROLLUP (cohort_l1, cohort))
