@@ -49,14 +49,35 @@ def shift_filter(
     return semi_in(rows, "location.store_cluster", known, "store_cluster")
 
 
+def zone_bridge(supply: DataFrame) -> DataFrame:
+    """``company_name, zone_description, store_cluster``: every cluster under each zone that supply lists it for.
+
+    Written once; a cluster may be under several zones, and a zone has several clusters.
+    """
+    keys = ("company_name", "zone_description", "store_cluster")
+    return materialize(supply.select(*keys).where(both(F.col(k).isNotNull() for k in keys)).distinct())
+
+
+def zoned_shifts(assignments: DataFrame, bridge: DataFrame, salt: int = 16) -> DataFrame:
+    """Each shift once under every zone whose clusters hold its store, with ``zone_description``.
+
+    The shifts of all zones in one plan, to be written ranged by zone, so a zone look-up is a filtered read.
+    The bridge is copied ``salt`` times and each shift takes one copy by a hash, so a cluster with a third
+    of all shifts is spread over ``salt`` tasks when the bridge is too large to broadcast.
+    """
+    rows = assignments.withColumns({"__salt": F.pmod(F.xxhash64("shift_id", "partner_id", "shift_date"), F.lit(salt)), "__cluster": F.col("location.store_cluster")})
+    spread = bridge.select("company_name", "zone_description", F.col("store_cluster").alias("__cluster"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("__salt"))
+    return rows.join(spread, ["company_name", "__cluster", "__salt"]).drop("__salt", "__cluster")
+
+
 def _status() -> Column:
     return completion_status(
         F.col("assignment.is_completed"), F.col("assignment.is_noshow"), F.col("assignment.is_canceled")
     )
 
 
-def market_shifts(filtered: DataFrame) -> DataFrame:
-    """Flat shift rows with completion status and pay."""
+def market_shifts(filtered: DataFrame, *extra: str) -> DataFrame:
+    """Flat shift rows with completion status and pay; ``extra`` columns of ``filtered`` follow."""
     return filtered.select(
         "company_name", "shift_date", "shift_id", "shift_title",
         F.col("shift.type").alias("shift_type"),
@@ -71,6 +92,7 @@ def market_shifts(filtered: DataFrame) -> DataFrame:
         F.col("payment.total_amount").alias("total_pay"),
         F.col("payment.approval_status").alias("payment_approval"),
         F.col("payment.status").alias("payment_status"),
+        *extra,
     )
 
 

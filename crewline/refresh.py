@@ -41,6 +41,7 @@ NEWEST = ("ds", "shift_start", "shift_date", "updated_at")
 LAYOUT = {
     "shift_detail": ("shift_id",),
     "market_shifts": ("company_name", "zone", "shift_date", "store_number"),
+    "zone_shifts": ("company_name", "zone_description", "shift_date", "store_number"),
 }
 # Columns looked up by one value: a Parquet bloom filter per row group lets a reader skip row groups whose
 # range holds the value but whose rows do not.
@@ -143,6 +144,12 @@ def marts(
         "nearest_stores": near,
         "nearby_outlook": lambda: stores.nearby_outlook(near(), stores.store_outlook(src["shift_assignments"], companies, p.as_of_date)),
         "market_shifts": lambda: shifts.market_shifts(shifts.shift_filter(src["shift_assignments"], None, windows.since(p), p.as_of_date)),
+        "zone_shifts": lambda: shifts.market_shifts(
+            shifts.zoned_shifts(
+                shifts.shift_filter(src["shift_assignments"], None, windows.since(p), p.as_of_date), shifts.zone_bridge(src["supply_daily_position"])
+            ),
+            "zone_description",
+        ),
         "shift_detail": lambda: shifts.shift_detail(src["shift_assignments"]),
         "zone_summary": lambda: zones.zone_summary(client_rows()),
         "store_summary": lambda: zones.store_summary(client_rows()),

@@ -308,6 +308,19 @@ def market_shift_kpis(s: Staged):
     return exact.withColumn("rule", F.lit("exact"))
 
 
+@check(
+    f"""SELECT b.zone_description, a.shift_id, a.partner_id, a.store_number, {day('a.shift_date')} AS shift_date FROM stg_assignment a
+    JOIN (SELECT DISTINCT company_name, zone_description, store_cluster FROM stg_supply
+          WHERE company_name IS NOT NULL AND zone_description IS NOT NULL AND store_cluster IS NOT NULL) b
+      ON b.company_name = a.company_name AND b.store_cluster = a.store_cluster WHERE a.{CLIENT.replace(' AND shift_date', ' AND a.shift_date')}"""
+)
+def zone_shifts(s: Staged):
+    """The client's shifts of every zone at once, through the zone-to-cluster bridge."""
+    rows = shifts.shift_filter(s.shift_assignments, "BUILDING", FIRST, LAST)
+    zoned = shifts.zoned_shifts(rows, shifts.zone_bridge(s.supply_daily_position))
+    return zoned.select("zone_description", "shift_id", "partner_id", F.col("location.external_id").alias("store_number"), "shift_date")
+
+
 # The completion statuses that the market page filters by.
 STATUSES = ("Completed", "No Show", "Canceled", "Assigned")
 _FILTERS = ", ".join(f"('{f}', '{v}')" for f, v in bitmaps.choices(STATUSES))
