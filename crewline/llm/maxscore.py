@@ -115,13 +115,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
     (a shard) in one bounded group. In a shard MaxScore runs for each query and returns its k best; the
     shards' lists are merged by an aggregate that keeps k rows. Ties go to the smaller ``vec_id``.
 
-    Rows with a null id or null terms take no part, a row repeated whole counts once, a query is never its own
-    candidate, shorter vectors are padded with zeros, and a score beyond a long is held at its end. Fewer than
-    k candidates give fewer rows; an empty table gives none.
+    Rows with a null id or null terms take no part. Every row is a candidate, a repeated one as often as it is
+    there, except rows with the query's own id; a repeated query row asks again, and the k best of all its
+    rows' lists are kept, as a join of the rows and a rank per query id would give. Shorter vectors are padded
+    with zeros, and a score beyond a long is held at its end. Fewer than k candidates give fewer rows; an empty
+    table gives none.
     """
-    vectors, queries = [
-        side.where("vec_id IS NOT NULL AND terms IS NOT NULL").select("vec_id", "terms").distinct() for side in (vectors, queries)
-    ]
+    vectors, queries = [side.where("vec_id IS NOT NULL AND terms IS NOT NULL").select("vec_id", "terms") for side in (vectors, queries)]
     # Two counts come to the driver; they set how many blocks there are.
     shards = max(1, -(-vectors.count() // block))
     groups = max(1, -(-queries.count() // block))

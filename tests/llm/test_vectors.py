@@ -35,13 +35,11 @@ def test_top_k(spark, vectors):
     got = {}
     for r in maxscore.top_k_embeddings(table(spark, vectors)).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    own = {}
-    for i, v, _ in vectors:
-        if usable(v):
-            own[i] = [math.floor(256 * x) for x in v]
+    # Every row, repeated ones as often as they are there; a query's rows meet all rows of other ids.
+    own = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in vectors if usable(v)]
     want = {}
-    for q in (i for i in own if i % 50 == 0):
-        scored = sorted(((-sum(a * b for a, b in zip(own[q], t)), i) for i, t in own.items() if i != q))[:5]
+    for q in sorted({i for i, _ in own if i % 50 == 0}):
+        scored = sorted((-sum(a * b for a, b in zip(u, t)), i) for j, u in own if j == q for i, t in own if i != q)[:5]
         want[q] = [(n + 1, i, -s) for n, (s, i) in enumerate(scored)]
     assert {q: sorted(x) for q, x in got.items()} == want
 
