@@ -193,16 +193,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, code: Code = Co
     nothing; so do vectors of unequal length. Rows with equal ``vec_id`` are rows like any others, except that the
     component carries the id. An empty table gives no rows.
     """
-    keyed = vectors.select("vec_id", "label", F.col("embedding").alias("vec"))
+    # Labels keep their own type and vectors their precision (floats become doubles exactly).
+    keyed = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vec"))
     able = finite_vector(F.col("vec")) & F.col("label").isNotNull() & F.exists("vec", lambda x: x != 0) & F.col("vec_id").isNotNull()
     usable = keyed.where(able)
     same = ["label", "vec"]
     folded = usable.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    schema = "label int, vec array<float>, rep long, copies long, filters array<long>"
-    reps = folded.select(F.col("label").cast("int").alias("label"), "vec", "rep", "copies")
+    label_type = keyed.schema["label"].dataType.simpleString()
+    schema = f"label {label_type}, vec array<double>, rep long, copies long, filters array<long>"
+    reps = folded.select("label", "vec", "rep", "copies")
     reps = materialize(reps.mapInPandas(_filtered(code), schema))
-    entries = reps.select("label", F.size("vec").alias("width"), F.explode("filters").alias("filter"), "rep")
-    key = ["label", "width", "filter"]
+    # Blocks are keyed by a number of each label, whatever the label's type.
+    numbers = materialize(reps.select("label").distinct().withColumn("label_no", F.monotonically_increasing_id()))
+    entries = reps.join(numbers, "label").select("label_no", F.size("vec").alias("width"), F.explode("filters").alias("filter"), "rep")
+    key = ["label_no", "width", "filter"]
     crowds = entries.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
     crowds = crowds.select(*key, F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
     placed = entries.join(crowds, key).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks").cast("long")).cast("int"))

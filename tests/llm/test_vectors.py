@@ -105,3 +105,11 @@ def test_recall_at_the_threshold():
         row, number = capfilters.decode(side, capfilters.Code())
         found.append({(int(r), int(f)) for r, f in zip(row, number)})
     assert len({r for r, _ in found[0] & found[1]}) >= 0.99 * 1500
+
+
+def test_cap_filters_take_labels_of_any_type_and_double_vectors(spark):
+    big = [1e300, 2e300, 0.0, 1e300]
+    rows = [(1, big, "a"), (2, [x * 1.0000001 for x in big], "a"), (3, big, "b"), (4, [1.0, 0.0, 0.0, 0.0], "a long label " * 20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in capfilters.near_duplicates(df, threshold=0.93).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
