@@ -114,10 +114,13 @@ def _stored(s: Staged):
 V2_SQL = f"""partner_id, first_name, last_name, city_description AS city, zone_description, ROUND(closest_store_proximity_miles, 1) AS closest_store_miles,
   {day('created_date')} AS dl_date, {moment('last_active_at')} AS last_active_at, ROUND(churn_probability, 3) AS churn_probability,
   partner_role_tier, CAST(COALESCE(partner_role_tier LIKE 'M1%', FALSE) AS BIGINT) AS is_m1, bgc_result, priority_cohort_l1, priority_cohort_l2,
-  sent AS work_shifts_sent_next_7d, lifetime_shifts AS lifetime_ckp_food_shifts"""
+  sent AS work_shifts_sent_next_7d, lifetime_shifts AS lifetime_ckp_food_shifts,
+  {day('oa_date')} AS oa_date, {day('op_date')} AS op_date, {day('s1c_date')} AS s1c_date, shifts_worked_last_7d, shifts_assigned_next_7d,
+  total_shifts_last_4w, currently_suspended, currently_deactivated, is_fraud_partner"""
 V2_COLUMNS = (
     "partner_id first_name last_name city zone_description closest_store_miles dl_date last_active_at churn_probability partner_role_tier is_m1 "
-    "bgc_result priority_cohort_l1 priority_cohort_l2 lifetime_ckp_food_shifts bgc_adjudication_event partner_cohort"
+    "bgc_result priority_cohort_l1 priority_cohort_l2 lifetime_ckp_food_shifts bgc_adjudication_event partner_cohort "
+    "oa_date op_date s1c_date shifts_worked_last_7d shifts_assigned_next_7d total_shifts_last_4w currently_suspended currently_deactivated is_fraud_partner"
 ).split()
 
 
