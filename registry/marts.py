@@ -175,10 +175,12 @@ def funnel_breakdown(s: Staged):
 
 @check(
     f"""SELECT partner_id, first_name, last_name, company_name, {day('op_date')} AS op_date, {moment('last_active_at')} AS last_active_at, total_shifts_last_4w, weeks_worked_last_4w,
-          partner_lat, partner_lng, COUNT(*) OVER (PARTITION BY partner_id) AS companies, {_AGO} AS last_active_text, COALESCE({_AGE} <= 7, FALSE) AS recently_active FROM stg_partner"""
+          partner_lat, partner_lng, COUNT(*) OVER (PARTITION BY partner_id) AS companies, {_AGO} AS last_active_text, COALESCE({_AGE} <= 7, FALSE) AS recently_active,
+          CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS phone_number, CAST(NULL AS VARCHAR) AS msa, CAST(NULL AS VARCHAR) AS user_company_status FROM stg_partner"""
 )
 def partner_profile(s: Staged):
-    return partners.partner_profile(s.partner_throughput, P.as_of_ts).drop("email", "phone_number", "msa", "user_company_status")
+    """All columns; contact columns, market and status are not in the staged data and NULL on both sides."""
+    return partners.partner_profile(s.partner_throughput, P.as_of_ts)
 
 
 @check(CHECK_SQL + "SELECT * FROM k_all")
@@ -188,16 +190,23 @@ def bgc_status(s: Staged):
 
 @check(
     DEACT_SQL
-    + "SELECT event_id, partner_id, ds, is_banned, is_deactivated, COALESCE(deactivation_level, 'N/A') AS deactivation_level, status, company, last_reactivated FROM d_all WHERE rn = 1"
+    + """SELECT d_all.event_id, d_all.partner_id, d_all.ds, d_all.is_banned, d_all.is_deactivated, COALESCE(d_all.deactivation_level, 'N/A') AS deactivation_level,
+         status, company, last_reactivated, d_all.reactivation_date, x.deactivation_company, CAST(NULL AS VARCHAR) AS internal_reason
+       FROM d_all JOIN stg_deactivation x USING (event_id) WHERE rn = 1"""
 )
 def deactivation_status(s: Staged):
-    now = partners.deactivation_status(s.partner_deactivations, NAMES, EVENT_TIE)
-    return now.drop("deactivation_company", "internal_reason", "reactivation_date")
+    """All columns; the internal reason is not in the staged data and NULL on both sides."""
+    return partners.deactivation_status(s.partner_deactivations, NAMES, EVENT_TIE)
 
 
-@check(DEACT_SQL + "SELECT event_id, partner_id, ds, is_banned, is_deactivated, deactivation_level, reactivation_date, status, company, last_reactivated FROM d_all")
+@check(
+    DEACT_SQL
+    + """SELECT d_all.event_id, d_all.partner_id, d_all.ds, d_all.is_banned, d_all.is_deactivated, d_all.deactivation_level, d_all.reactivation_date, status, company,
+         last_reactivated, x.deactivation_company, CAST(NULL AS VARCHAR) AS internal_reason FROM d_all JOIN stg_deactivation x USING (event_id)"""
+)
 def deactivation_history(s: Staged):
-    return partners.deactivation_history(s.partner_deactivations, NAMES).drop("deactivation_company", "internal_reason")
+    """All columns; the internal reason is not in the staged data and NULL on both sides."""
+    return partners.deactivation_history(s.partner_deactivations, NAMES)
 
 
 @check(NEAR_SQL + "SELECT partner_id, company_name, rank, store_number, city, state_code, distance_miles, total_active_stores, stores_within_radius FROM n_near")
@@ -250,9 +259,14 @@ def shifts_sent_kpis(s: Staged):
     return partners.offer_kpis(_sent(s))
 
 
-@check(BONUS_SQL + "SELECT * FROM b_all")
+@check(
+    BONUS_SQL
+    + """SELECT *, CAST(NULL AS VARCHAR) AS bonus_type, CAST(NULL AS VARCHAR) AS valid_from, CAST(NULL AS VARCHAR) AS valid_to,
+         CAST(NULL AS BIGINT) AS days_to_complete FROM b_all"""
+)
 def partner_bonuses(s: Staged):
-    return _bonuses(s).drop("bonus_type", "valid_from", "valid_to", "days_to_complete")
+    """All columns; type and validity of a bonus are not in the staged data and NULL on both sides."""
+    return _bonuses(s)
 
 
 ASSIGNED_SQL = f"""
