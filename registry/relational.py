@@ -398,15 +398,16 @@ def outlook_join(s: Staged):
 
 
 @check(
-    """SELECT s.zone_description, COALESCE(array_to_string(LIST(DISTINCT l.city ORDER BY l.city) FILTER (l.city IS NOT NULL), ','), '') AS cities
-       FROM (SELECT DISTINCT zone_description, store_cluster FROM stg_supply WHERE company_name = 'BUILDING') s
-       LEFT JOIN stg_location l ON l.hex = s.store_cluster AND l.company_name = 'BUILDING' GROUP BY 1"""
+    """SELECT s.company_name, s.zone_description, COALESCE(array_to_string(LIST(DISTINCT l.city ORDER BY l.city) FILTER (l.city IS NOT NULL), ','), '') AS cities
+       FROM (SELECT DISTINCT company_name, zone_description, store_cluster FROM stg_supply) s
+       LEFT JOIN stg_location l ON l.hex = s.store_cluster AND l.company_name = s.company_name GROUP BY 1, 2"""
 )
 def cluster_city_join(s: Staged):
-    clusters = s.supply_daily_position.where("company_name = 'BUILDING'").select("zone_description", "store_cluster").distinct()
-    shops = s.locations.where("company_name = 'BUILDING'").select(F.col("hex").alias("store_cluster"), "city").distinct()
-    pairs = clusters.join(shops, "store_cluster", "left").select("zone_description", "city").distinct()
-    return pairs.groupBy("zone_description").agg(F.array_join(F.sort_array(F.collect_set("city")), ",").alias("cities"))
+    """Store cities of every zone of every company, through the zone's clusters."""
+    clusters = s.supply_daily_position.select("company_name", "zone_description", "store_cluster").distinct()
+    shops = s.locations.select("company_name", F.col("hex").alias("store_cluster"), "city").distinct()
+    pairs = clusters.join(shops, ["company_name", "store_cluster"], "left").select("company_name", "zone_description", "city").distinct()
+    return pairs.groupBy("company_name", "zone_description").agg(F.array_join(F.sort_array(F.collect_set("city")), ",").alias("cities"))
 
 
 # --- aggregations ----------------------------------------------------------------------------
@@ -721,11 +722,17 @@ def distinct_rows(s: Staged):
 
 
 @check(
-    f"""SELECT zone_description, array_to_string(list_filter(list_distinct(['Other', UPPER(base), zone_description]), lambda c: LOWER(c) <> LOWER(base)).list_sort(), ',') AS others
-        FROM (SELECT DISTINCT z.zone_description, {BASE} AS base FROM stg_supply z)"""
+    f"""SELECT s.company_name, s.zone_description, s.hex_city_description,
+          COALESCE(array_to_string(list_sort(list_filter(LIST(DISTINCT l.city) FILTER (l.city IS NOT NULL), lambda c: LOWER(c) <> LOWER(s.base))), ','), '') AS others
+        FROM (SELECT DISTINCT z.company_name, z.zone_description, z.hex_city_description, z.store_cluster, {BASE} AS base FROM stg_supply z) s
+        LEFT JOIN stg_location l ON l.hex = s.store_cluster AND l.company_name = s.company_name
+        GROUP BY s.company_name, s.zone_description, s.hex_city_description, s.base"""
 )
 def set_minus_in_row(s: Staged):
-    zone, base = F.col("zone_description"), zone_base_city(F.col("hex_city_description"))
-    rows = s.supply_daily_position.select("zone_description", "hex_city_description").distinct()
-    names = F.sort_array(F.array_distinct(F.array(F.lit("Other"), F.upper(base), zone)))
-    return rows.select("zone_description", F.array_join(other_cities(names, base), ",").alias("others"))
+    """The store cities of each zone other than the zone's own city (of its hex city), whatever their case."""
+    zones = s.supply_daily_position.select("company_name", "zone_description", "hex_city_description", "store_cluster").distinct()
+    shops = s.locations.select("company_name", F.col("hex").alias("store_cluster"), "city")
+    keys = ["company_name", "zone_description", "hex_city_description"]
+    cities = zones.join(shops, ["company_name", "store_cluster"], "left").groupBy(*keys).agg(F.sort_array(F.collect_set("city")).alias("cities"))
+    base = zone_base_city(F.col("hex_city_description"))
+    return cities.select(*keys, F.array_join(other_cities(F.col("cities"), base), ",").alias("others"))
