@@ -19,19 +19,21 @@ from crewline.plans.markets import target_markets
 from crewline.sources import dimensions as dims
 from crewline.sources.sinks import materialize
 
-# Roster columns per group, between the common head and tail.
+# The roster columns of each group, between the common head and tail, as the page shows them.
 ROSTER_HEAD = ["partner_id", "first_name", "last_name", "city", "zone_description", "closest_store_miles"]
 ROSTER_TAIL = ["email", "phone_number", "fill_rate_l7d", "priority_cohort_l2"]
-_WORKED = (
-    "s1c_date completed_shifts m1_tier shifts_worked_last_7d shifts_assigned_next_7d "
-    "work_shifts_sent_next_7d work_shifts_seen_next_7d churn_status"
-).split()
 ROSTER_DETAIL = {
-    "S1C, Assigned": _WORKED,
-    "S1C, Not Assigned": _WORKED,
-    "BGC Passed, Not S1C": (
-        "op_date bgc_status s1a_date shifts_assigned_next_7d work_shifts_sent_next_7d work_shifts_seen_next_7d"
-    ).split(),
+    "S1C, Assigned": [
+        "s1c_date", "completed_shifts", "m1_tier", "shifts_worked_last_7d", "shifts_assigned_next_7d",
+        "work_shifts_sent_next_7d", "work_shifts_seen_next_7d", "churn_status",
+    ],
+    "S1C, Not Assigned": [
+        "s1c_date", "completed_shifts", "m1_tier", "shifts_worked_last_7d", "shifts_assigned_next_7d",
+        "work_shifts_sent_next_7d", "work_shifts_seen_next_7d", "churn_status",
+    ],
+    "BGC Passed, Not S1C": [
+        "op_date", "bgc_status", "s1a_date", "shifts_assigned_next_7d", "work_shifts_sent_next_7d", "work_shifts_seen_next_7d",
+    ],
     "OP, Not BGC Finalized": ["op_date", "bgc_status", "bgc_submitted_at", "bgc_adjudication_event"],
     "OA, Not OP": ["oa_date", "op_date"],
     "Not OA": ["dl_date", "last_active_at"],
@@ -181,6 +183,16 @@ def roster_view(roster: DataFrame, group: str) -> DataFrame:
     return shown.orderBy("fill_rate_l7d", "partner_id")
 
 
+def roster_views(roster: DataFrame) -> DataFrame:
+    """The views of all seven groups at once: ``cohort_l1``, the head, every detail column of any group (NULL
+    where the row's group does not show it) and the tail. Partners of no group are left out."""
+    detail = list(dict.fromkeys(c for columns in ROSTER_DETAIL.values() for c in columns))
+    group = F.col("cohort_l1")
+    shown = [F.when(group.isin([g for g, cols in ROSTER_DETAIL.items() if c in cols]), F.col(c)).alias(c) for c in detail]
+    rows = roster.where(group.isin(list(ROSTER_DETAIL)))
+    return rows.select("cohort_l1", *ROSTER_HEAD, *shown, *ROSTER_TAIL)
+
+
 def stored_roster(partners: DataFrame, p: FunnelParams) -> DataFrame:
     """Roster of partners whose cohort is stored with them."""
     rows = active_since(partners.where(F.col("company_name") == p.company), "last_active_at", p.as_of_ts, p.active_days)

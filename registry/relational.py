@@ -269,6 +269,33 @@ def roster_view(s: Staged):
     return funnel.roster_view(funnel.funnel_roster(funnel.cohorted(s, P, EVENT_TIE), P), "OP, Not BGC Finalized")
 
 
+# How the oracle's roster holds each detail column of the roster views.
+_DETAIL_SQL = {
+    "s1c_date": day("s1c_date"), "completed_shifts": "COALESCE(completed_shifts, 0)", "m1_tier": "partner_role_tier",
+    "shifts_worked_last_7d": "shifts_worked_last_7d", "shifts_assigned_next_7d": "shifts_assigned_next_7d",
+    "work_shifts_sent_next_7d": "COALESCE(sent, 0)", "work_shifts_seen_next_7d": "COALESCE(seen, 0)", "churn_status": "CAST(NULL AS VARCHAR)",
+    "op_date": day("op_date"), "bgc_status": "bgc_result", "s1a_date": "CAST(NULL AS VARCHAR)", "bgc_submitted_at": moment("bgc_submitted_at"),
+    "bgc_adjudication_event": "adj_event", "oa_date": day("oa_date"), "dl_date": day("created_date"), "last_active_at": moment("last_active_at"),
+}
+
+
+def _views_sql() -> str:
+    groups = funnel.ROSTER_DETAIL
+    detail = list(dict.fromkeys(c for columns in groups.values() for c in columns))
+    shown = [
+        f"CASE WHEN cohort_l1 IN ({', '.join(repr(g) for g, cols in groups.items() if c in cols)}) THEN {_DETAIL_SQL[c]} END AS {c}" for c in detail
+    ]
+    return f"""SELECT cohort_l1, partner_id, first_name, last_name, city, zone_description, closest_store_proximity_miles AS closest_store_miles,
+          {', '.join(shown)}, CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS phone_number, ROUND(fill_rate_l7d, 3) AS fill_rate_l7d,
+          priority_cohort_l2 FROM o_roster WHERE cohort_l1 IN ({', '.join(repr(g) for g in groups)})"""
+
+
+@check(_views_sql())
+def roster_views(s: Staged):
+    """The roster views of all seven groups, one row per partner of a group."""
+    return funnel.roster_views(funnel.funnel_roster(funnel.cohorted(s, P, EVENT_TIE), P))
+
+
 # --- joins -----------------------------------------------------------------------------------
 
 
