@@ -357,12 +357,14 @@ def status_distinct_counts(s: Staged):
 @check(
     f"""SELECT shift_id, partner_id, company_name, {day('shift_date')} AS shift_date, shift_title, {moment('start_at')} AS shift_start, store_number, store_name,
           TRIM(COALESCE(first_name, '') || ' ' || COALESCE(last_name, '')) AS partner_name, is_completed, is_noshow, is_canceled, CAST(total_amount AS DOUBLE) AS total_amount,
-          CAST(shift_bonus_amount AS DOUBLE) AS shift_bonus_amount, approval_status, payment_status, CASE WHEN is_completed THEN {moment('start_at')} END AS check_in FROM stg_assignment"""
+          CAST(shift_bonus_amount AS DOUBLE) AS shift_bonus_amount, approval_status, payment_status, CASE WHEN is_completed THEN {moment('start_at')} END AS check_in,
+          shift_type, {moment("start_at + INTERVAL 4 HOUR")} AS shift_end, store_cluster AS zone, assignment_status, CAST(rate AS DOUBLE) AS rate,
+          CAST(base_amount AS DOUBLE) AS base_amount FROM stg_assignment"""
 )
 def shift_detail(s: Staged):
     columns = (
         "shift_id partner_id company_name shift_date shift_title shift_start store_number store_name partner_name is_completed is_noshow is_canceled "
-        "total_amount shift_bonus_amount approval_status payment_status check_in"
+        "total_amount shift_bonus_amount approval_status payment_status check_in shift_type shift_end zone assignment_status rate base_amount"
     ).split()
     return shifts.shift_detail(s.shift_assignments).select(*columns)
 
