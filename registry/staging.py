@@ -136,10 +136,12 @@ class Staged:
 
     @cached_property
     def shift_assignments(self) -> DataFrame:
+        # Orders meet their customers first, so line items are shuffled once whatever the size of the customers. Both are facts: they are
+        # merged also where one would still fit a broadcast, so what is shuffled grows in proportion.
+        placed = self.raw("orders").join(self.raw("customer"), F.expr("o_custkey = c_custkey"))
         rows = (
             self.raw("lineitem")
-            .join(self.raw("orders"), F.expr("l_orderkey = o_orderkey"))
-            .join(self.raw("customer"), F.expr("o_custkey = c_custkey"))
+            .join(placed.hint("merge"), F.expr("l_orderkey = o_orderkey"))
             .join(self.raw("supplier"), F.expr("l_suppkey = s_suppkey"))
         )
         start = F.expr(f"l_shipdate + {MOVE} + l_linenumber * INTERVAL 1 HOUR")

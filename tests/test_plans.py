@@ -51,3 +51,11 @@ def test_calendar_cells_are_not_shuffled(spark):
     plan = plan_of(spark, "assignment_calendar")
     above = plan.split("Exchange")[0]
     assert above.count("Generate explode") == 2 and "Join" not in above
+
+
+def test_facts_are_merged_at_any_size_and_customers_meet_the_orders(spark):
+    # At this scale orders would be broadcast; a switch to a shuffle at a larger one is growth beyond that of the tables.
+    for name in ("nested_projection", "top_n"):
+        plan = plan_of(spark, name)
+        assert re.search(r"SortMergeJoin \[l_orderkey#\d+L\], \[o_orderkey#\d+L\]", plan), name
+        assert plan.index("SortMergeJoin") < plan.index("HashJoin [o_custkey"), name
