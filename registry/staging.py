@@ -9,6 +9,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from crewline.sources.sinks import materialize
 from crewline.sources.tables import conform
 
 MOVE = "INTERVAL 9496 DAY"
@@ -199,7 +200,8 @@ class Staged:
         daily = self.shift_assignments.groupBy(
             "company_name", F.col("shift_date").alias("date"), F.col("location.store_cluster").alias("store_cluster")
         ).agg(F.count("*").alias("shifts"), F.count_if("assignment.is_completed").alias("filled"))
-        return conform(daily.join(zones, "store_cluster").withColumn("position", F.lit("All")), "supply_daily_position")
+        # A stored table in the original; written once here, as plans read it several times and its days are few.
+        return materialize(conform(daily.join(zones, "store_cluster").withColumn("position", F.lit("All")), "supply_daily_position"))
 
     @cached_property
     def store_crm(self) -> DataFrame:

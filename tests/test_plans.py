@@ -7,6 +7,7 @@ import pytest
 from conftest import SMALL
 from registry import marts, relational, scalars  # noqa: F401
 from registry.core import QUERIES
+from registry.staging import Staged
 
 
 def plan_of(spark, name):
@@ -59,3 +60,11 @@ def test_facts_are_merged_at_any_size_and_customers_meet_the_orders(spark):
         plan = plan_of(spark, name)
         assert re.search(r"SortMergeJoin \[l_orderkey#\d+L\], \[o_orderkey#\d+L\]", plan), name
         assert plan.index("SortMergeJoin") < plan.index("HashJoin [o_custkey"), name
+
+
+def test_supply_positions_are_counted_once(spark):
+    staged = Staged(spark, SMALL)
+    plan = staged.supply_daily_position._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "Join" not in plan and "lineitem" not in plan
+    peaks = relational.zones.zone_peaks(staged.supply_daily_position, None)
+    assert "lineitem" not in peaks._jdf.queryExecution().executedPlan().toString()
