@@ -45,6 +45,40 @@ def test_template_of_a_host(spark):
     assert templates.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def _site(spark, host, pages):
+    return spark.createDataFrame([(i, f"http://{host}/{i}", "<body>" + "".join(f"<div>{x}</div>" for x in texts) + "</body>") for i, texts in enumerate(pages)], "page_id long, url string, html string")
+
+
+def test_template_is_ordered(spark):
+    # Two texts on every page, in changing order: only one of them can be part of the template.
+    pages = [["Top", *(["left", "right"] if i % 2 else ["right", "left"]), f"own {i}", "Bottom"] for i in range(12)]
+    got = {r["text"] for r in templates.extract(_site(spark, "a.example", pages)).collect()}
+    assert got in ({f"right\n\nown {i}" for i in range(12)}, {f"left\n\nown {i}" for i in range(12)})
+    # Turn by turn: the list of pairs is in order, the list of two lists is not.
+    pairs = [["Top", *["name", "value"] * 3, f"own {i}", "Bottom"] for i in range(6)] + [["Top", *["name", "value"] * 2, f"own {i}", "Bottom"] for i in range(6, 12)]
+    assert {r["text"] for r in templates.extract(_site(spark, "a.example", pairs)).collect()} == {f"own {i}" for i in range(12)}
+    lists = [["Top", *["name"] * 3, *["value"] * 3, f"own {i}", "Bottom"] for i in range(6)] + [["Top", *["name"] * 2, *["value"] * 2, f"own {i}", "Bottom"] for i in range(6, 12)]
+    assert all(r["text"].startswith("name\n\nname") for r in templates.extract(_site(spark, "a.example", lists)).collect())
+
+
+def test_template_is_nested(spark):
+    # The smaller class is on nine pages of twelve: in one slot of the larger, across its tokens, and now in this slot, now in that.
+    inside = [["Top", *["x", "y"] * (i < 9), "Middle", f"own {i}", "Bottom"] for i in range(12)]
+    across = [["Top", *["x"] * (i < 9), "Middle", *["y"] * (i < 9), f"own {i}", "Bottom"] for i in range(12)]
+    moving = [["Top", *["x", "y"] * (i < 5), "Middle", *["x", "y"] * (5 <= i < 9), f"own {i}", "Bottom"] for i in range(12)]
+    got = [{r["page_id"]: r["text"] for r in templates.extract(_site(spark, "a.example", pages)).collect()} for pages in (inside, across, moving)]
+    assert got[0] == {i: f"own {i}" for i in range(12)}
+    assert got[1] == got[2] == {i: ("x\n\ny\n\n" if i < 9 else "") + f"own {i}" for i in range(12)}
+
+
+def test_long_template_text_goes_and_headings_of_articles_stay(spark):
+    notice = " ".join(f"word{k}" for k in range(30))
+    got = templates.extract(_site(spark, "a.example", [["Top", notice, f"own {i}"] for i in range(8)])).collect()
+    assert {r["text"] for r in got} == {f"own {i}" for i in range(8)}
+    articles = [[f"<article><h2>Introduction</h2><p>own {i}</p><p>Share this</p></article>"] for i in range(8)]
+    assert {r["text"] for r in templates.extract(_site(spark, "a.example", articles)).collect()} == {f"Introduction\n\nown {i}" for i in range(8)}
+
+
 def test_given_pages(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     got = {r["page_id"]: r for r in templates.extract(pages).collect()}
