@@ -1,11 +1,13 @@
-"""SentencePiece encoding and decoding as a relational lattice with a Viterbi fold. DataFrame functions only."""
+"""SentencePiece encoding and decoding as a relational lattice with a Viterbi fold."""
 
 from __future__ import annotations
 
 import re
-import unicodedata
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 SPACE = "▁"
 DEFAULT_MODEL = "piece_bpe_32k.model"
@@ -34,108 +36,173 @@ class Pieces:
         self.rows = [(model.id_to_piece(i), i, float(model.get_score(i))) for i in own]
         self.longest = max(len(text) for text, _, _ in self.rows)
         self.unknown = min(score for _, _, score in self.rows) - 10.0
-        solid = lambda c: unicodedata.category(c)[0] in "LN"
-        crossing = {b for text, _, _ in self.rows for a, b in zip(text, text[1:]) if solid(a) and not solid(b)} - {SPACE}
+        crossing = {b for text, _, _ in self.rows for a, b in zip(text, text[1:]) if re.match(r"\w", a) and not re.match(r"\w", b)} - {SPACE}
         # No piece crosses a line end, a blank behind a run, or the border of a letter and a sign, but for these signs.
-        border = f"(?<=[\\p{{L}}\\p{{N}}])(?=[^\\p{{L}}\\p{{N}}{SPACE}\\n{''.join(re.escape(c) for c in sorted(crossing))}])"
-        self.stretch = f"{SPACE}*[^{SPACE}\\n]+?(?:{border}|(?=[{SPACE}\\n])|$)|{SPACE}*\\n|{SPACE}+"
+        sign = f"[^\\w{SPACE}\\n]"
+        over = f"(?:[{''.join(re.escape(c) for c in sorted(crossing))}]{sign}*)?" if crossing else ""
+        self.stretch = f"{SPACE}*\\n|{SPACE}*{sign}*(?:\\w+{over})+|{SPACE}*{sign}+|{SPACE}+"
         if any("\n" in text or SPACE in text.lstrip(SPACE) for text, _, _ in self.rows):
             raise ValueError("a piece crosses a line end or a blank")
         spelled = {i: text.encode() for text, i, _ in self.rows} | {i: bytes([b]) for b, i in self.bytes.items()}
-        self.hex = [spelled.get(i, b"").hex() for i in every]
-
-    def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "piece string, id int, score double")
-
-    def byte_ids(self, char: Column) -> Column:
-        """Byte pieces of one character."""
-        spelled = F.hex(F.encode(char, "UTF-8"))
-        ids = F.lit([self.bytes[b] for b in range(256)])
-        return F.transform(
-            F.sequence(F.lit(0), (F.length(spelled) / 2).cast("int") - 1),
-            lambda i: F.get(ids, F.conv(F.substring(spelled, i * 2 + 1, F.lit(2)), 16, 10).cast("int")),
-        )
-
-
-def _words(text: Column, pieces: Pieces) -> Column:
-    """A text in stretches that no piece crosses: blanks with what follows them, to a border or a line end. A blank is put in front."""
-    marked = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
-    found = F.regexp_extract_all(marked, F.lit(pieces.stretch), F.lit(0))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(found)
-
-
-def _best_path(edges: Column) -> Column:
-    """Viterbi over edges ``end, start, id, score`` in order of end: for each position the best score, and the edge that gives it; ties go to the smaller start."""
-    start = F.array(F.struct(F.lit(0.0).alias("best"), F.lit(-1).alias("start"), F.lit(-1).alias("id")))
-
-    def step(seen, e):
-        reached = F.struct((F.get(seen, e["start"])["best"] + e["score"]).alias("best"), e["start"].alias("start"), e["id"].alias("id"))
-        fresh = F.size(seen) <= e["end"]
-        better = reached["best"] > F.get(seen, e["end"])["best"]
-        head = F.slice(seen, F.lit(1), F.size(seen) - 1)
-        return F.when(fresh, F.concat(seen, F.array(reached))).when(better, F.concat(head, F.array(reached))).otherwise(seen)
-
-    return F.aggregate(edges, start, step)
-
-
-def _ids(word: Column, seen: Column, pieces: Pieces) -> Column:
-    """Ids along the best path, read from its end; a character without a piece gives its bytes."""
-    blank = F.struct((F.size(seen) - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
-
-    def back(state, _):
-        here = F.get(seen, state["at"])
-        own = F.when(here["id"] >= 0, F.array(here["id"])).otherwise(pieces.byte_ids(F.substring(word, here["start"] + 1, F.lit(1))))
-        return F.when(state["at"] > 0, F.struct(here["start"].alias("at"), F.concat(own, state["ids"]).alias("ids"))).otherwise(state)
-
-    return F.aggregate(seen, blank, back)["ids"]
-
-
-def encode(documents: DataFrame, pieces: Pieces, text: str = "text", parts: int | None = None) -> DataFrame:
+        self.spelled = [spelled.get(i, b"") for i in every]
+        self.hex = [text.hex() for text in self.spelled]
+        # The piece table by beginnings: number of a beginning and the next character -> number of the longer one; 0 is the empty one.
+        steps: dict[tuple[int, str], int] = {}
+        whole: dict[int, tuple[int, float]] = {}
+        for text, i, score in self.rows:
+            at = 0
+            for c in text:
+                at = steps.setdefault((at, c), len(steps) + 1)
+            whole[at] = (i, score)
+        found = sorted((at << 21 | ord(c), to) for (at, c), to in steps.items())
+        self.keys, self.next = (np.array(x, np.int64) for x in zip(*found))
+        self.id = np.array([whole.get(at, (-1, 0.0))[0] for at in range(len(steps) + 1)], np.int32)
+        self.score = np.array([whole.get(at, (-1, -np.inf))[1] for at in range(len(steps) + 1)])
+
+
+class _Coded:
+    """Distinct words and their ids: number of each word, and the ids of all words one after another."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.number: dict[str, int] = {}
+        self.first, self.size, self.same = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.ids = np.zeros(0, np.int32)
+
+    def add(self, words: list[str]) -> None:
+        """Encode words that are not known yet."""
+        words = sorted(words, key=len, reverse=True)
+        size, ids = _best_paths(words, self.pieces)
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        ends = np.cumsum(size)
+        # Each word is decoded once; a text is its words one after another.
+        spelled = self.pieces.spelled
+        width = np.concatenate([[0], np.cumsum([len(spelled[i]) for i in ids.tolist()], dtype=np.int64)])
+        back, cuts = b"".join([spelled[i] for i in ids.tolist()]), width[np.concatenate([[0], ends])].tolist()
+        self.same = np.concatenate([self.same, [back[a:b] == word.encode() for a, b, word in zip(cuts, cuts[1:], words)]])
+        self.first = np.concatenate([self.first, len(self.ids) + ends - size])
+        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+
+
+def _best_paths(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Of words in falling order of length the numbers of ids on their best paths, and the ids.
+
+    One lattice for all words, by the place where edges end. At each place the substrings that end there, by their starts, are joined to
+    the piece table; the edges are folded into the best score of each word at that place, ties to the smaller start.
+    """
+    lengths = np.array([len(w) for w in words], np.int64)
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    begin = np.cumsum(lengths) - lengths
+    # Words that reach a place are the first ones.
+    reach = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
+    starts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of each start its best scores, the words alive and their beginnings
+    best, came, through = np.zeros(len(words)), [], []
+    for end, n in enumerate(reach.tolist(), 1):
+        code = codes[begin[:n] + end - 1]
+        starts = [*starts[-(pieces.longest - 1) :], (best, np.arange(len(best)), np.zeros(len(best), np.int64))]
+        best, length, ids = np.full(n, -np.inf), np.zeros(n, np.int32), np.zeros(n, np.int32)
+        for k, (score, alive, state) in enumerate(starts):
+            if len(alive) and alive[-1] >= n:
+                alive, state = alive[: np.searchsorted(alive, n)], state[: np.searchsorted(alive, n)]
+            key = state << 21 | code[alive]
+            at = np.minimum(np.searchsorted(pieces.keys, key), len(pieces.keys) - 1)
+            hit = np.flatnonzero(pieces.keys[at] == key)
+            alive, state = alive[hit], pieces.next[at[hit]]
+            starts[k] = (score, alive, state)
+            reached = score[alive] + pieces.score[state]
+            better = np.flatnonzero(reached > best[alive])
+            own = alive[better]
+            best[own], length[own], ids[own] = reached[better], len(starts) - k, pieces.id[state[better]]
+        # A character without a piece is an edge of its own.
+        lone = np.ones(n, bool)
+        score, alive, state = starts[-1]
+        lone[alive[pieces.id[state] >= 0]] = False
+        lone = np.flatnonzero(lone & (score[:n] + pieces.unknown > best))
+        best[lone], length[lone], ids[lone] = score[lone] + pieces.unknown, 1, -1 - code[lone]
+        came.append(length)
+        through.append(ids)
+    return _read_back(lengths, reach, np.concatenate(came), np.concatenate(through), pieces)
+
+
+def _read_back(lengths: np.ndarray, reach: np.ndarray, came: np.ndarray, through: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Ids along the best paths, read from their ends; a character without a piece gives its bytes."""
+    level = np.concatenate([[0], np.cumsum(reach)])
+    word, place, steps = np.arange(len(lengths)), lengths.copy(), []
+    while len(word):
+        at = level[place - 1] + word
+        steps.append((word, through[at]))
+        place = place - came[at]
+        word, place = word[place > 0], place[place > 0]
+    size = np.zeros(len(lengths), np.int64)
+    for own, _ in steps:
+        size[own] += 1
+    last, ids = np.cumsum(size) - 1, np.zeros(size.sum(), np.int32)
+    for k, (own, found) in enumerate(steps):
+        ids[last[own] - k] = found
+    if (ids >= 0).all():
+        return size, ids
+    chars, which = np.unique(ids[ids < 0], return_inverse=True)
+    spelled = [[pieces.bytes[b] for b in chr(-1 - c).encode()] for c in chars.tolist()]
+    width = np.ones(len(ids), np.int64)
+    width[ids < 0] = np.array([len(x) for x in spelled])[which]
+    to = np.cumsum(width) - width
+    out = np.repeat(ids, width)
+    lone = to[ids < 0]
+    for k in range(max(len(x) for x in spelled)):
+        longer = np.array([len(x) > k for x in spelled])[which]
+        out[lone[longer] + k] = np.array([x[k] if len(x) > k else 0 for x in spelled], np.int32)[which[longer]]
+    return np.add.reduceat(width, last - size + 1), out
+
+
+def encode(documents: DataFrame, pieces: Pieces, text: str = "text", chars: int = 1 << 20, words: int = 1 << 18) -> DataFrame:
     """``doc_id, ids, exact``: the piece ids of each whole text of ``documents``, and whether they decode to it.
 
     Blanks are written as U+2581, one is put in front, nothing else is normalised. The segmentation is the path of
     the highest sum of piece scores (ties: the longer last piece); characters outside the pieces fall back to bytes.
 
-    Rows are dealt once by a hash to buckets; all that follows stays within a bucket, so this is the only shuffle. In a bucket each
-    distinct word is taken once with its occurrences: its substrings, up to the longest piece, are exploded and joined
-    to the piece table (bounded by the model, so broadcast), the edges are grouped by word and folded, and the ids go
-    back to the occurrences. The words of a bucket are bounded by its texts.
+    Nothing is shuffled: a text is encoded where it is read. Texts of about ``chars`` characters at a time are cut into stretches that no piece
+    crosses, and each distinct one is taken once: its substrings are joined to the piece table (bounded by the model) and the edges
+    folded, for all stretches place by place in columns. Their ids are kept for later texts until ``words`` stretches are known.
 
     An empty or null text has no ids. Repeated rows are encoded alike; an empty table stays empty.
     """
-    spark = documents.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    numbered = documents.select("doc_id", F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    bucket = F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
-    dealt = numbered.withColumn("part", bucket).repartition(parts, "part")
-    occurrences = dealt.select("part", "row", "doc_id", F.posexplode(_words(F.col("text"), pieces)).alias("at", "word"))
-    words = occurrences.groupBy("part", "word").agg(F.collect_list(F.struct("row", "doc_id", "at")).alias("places"))
-    # The occurrences travel with the first start, and there with the first length only.
-    starts = words.select("part", "word", "places", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    starts = starts.withColumn("places", F.when(F.col("start") == 0, F.col("places")))
-    spread = starts.select(
-        "part", "word", "places", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("word") - F.col("start")))).alias("len")
-    )
-    spread = spread.select(
-        "part", "word", F.when(F.col("len") == 1, F.col("places")).alias("places"), "start", "len",
-        F.substring("word", F.col("start") + 1, F.col("len")).alias("piece"),
-    )
-    table = F.broadcast(pieces.table(spark))
-    edges = spread.join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
-    edge = F.struct(
-        (F.col("start") + F.col("len")).alias("end"), "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(pieces.unknown)).alias("score")
-    )
-    lattice = edges.groupBy("part", "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first("places", True).alias("places"))
-    paths = lattice.select("part", "word", "places", _best_path(F.col("edges")).alias("seen"))
-    coded = paths.select("part", "word", "places", _ids(F.col("word"), F.col("seen"), pieces).alias("own"))
-    # Each word is decoded once; the text is its words one after another.
-    coded = coded.select("part", "places", "own", (_spelled(F.col("own"), pieces) == F.col("word")).alias("same"))
-    back = coded.select("part", F.explode("places").alias("place"), "own", "same").select("part", "place.*", "own", "same")
-    texts = back.groupBy("part", "row").agg(
-        F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("at", "own"))).alias("words"), F.bool_and("same").alias("exact")
-    )
-    empty = documents.where(F.coalesce(F.col(text), F.lit("")) == "").select("doc_id", F.array().cast("array<int>").alias("ids"), F.lit(True).alias("exact"))
-    return texts.select("doc_id", F.flatten(F.transform("words", lambda w: w["own"])).alias("ids"), "exact").unionByName(empty)
+    split = re.compile(pieces.stretch).findall
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Coded(pieces)
+        for batch in batches:
+            texts, first = batch.column(1), 0
+            while first < len(texts):
+                found, counts, taken = [], [], 0
+                while first + len(counts) < len(texts) and (not counts or taken < chars):
+                    one = texts[first + len(counts)].as_py() or ""
+                    own = split(SPACE + one.replace(" ", SPACE)) if one else []
+                    found += own
+                    counts.append(len(own))
+                    taken += len(one)
+                if len(known.number) > words:
+                    known = _Coded(pieces)
+                fresh = set(found).difference(known.number)
+                if fresh:
+                    known.add(list(fresh))
+                numbers = np.fromiter(map(known.number.__getitem__, found), np.int64, len(found))
+                size = known.size[numbers]
+                ends = np.concatenate([[0], np.cumsum(size)])
+                ids = known.ids[np.repeat(known.first[numbers] - ends[:-1], size) + np.arange(ends[-1])]
+                cuts = np.concatenate([[0], np.cumsum(counts)])
+                wrong = np.concatenate([[0], np.cumsum(~known.same[numbers])])[cuts]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(first, len(counts)),
+                        pa.ListArray.from_arrays(pa.array(ends[cuts], pa.int32()), pa.array(ids, pa.int32())),
+                        pa.array(wrong[1:] == wrong[:-1]),
+                    ],
+                    ["doc_id", "ids", "exact"],
+                )
+                first += len(counts)
+
+    schema = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())])
+    return documents.select("doc_id", F.col(text)).mapInArrow(run, schema)
 
 
 def _spelled(ids: Column, pieces: Pieces) -> Column:

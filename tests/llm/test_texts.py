@@ -318,3 +318,12 @@ def test_sentencepiece(spark, pieces, texts):
         text = dict(rows)[r["doc_id"]] or ""
         assert r["back"] == text and list(r["ids"]) == (viterbi("▁" + text.replace(" ", "▁"), pieces) if text else [])
     assert sentencepiece_lattice.encode(table(spark, []), pieces).count() == 0
+
+
+def test_sentencepiece_shuffles_nothing(spark, pieces, texts):
+    rows = [*texts[:40], (300, None), (301, "a_b __ x._y e.g. 3.14 \u00e9\u0301 \u2460\u00b2 tab\there\r\n\n  end"), (302, "\U0001f600 " * 50)]
+    coded = sentencepiece_lattice.encode(table(spark, rows), pieces, chars=500, words=50)
+    assert "Exchange" not in coded._jdf.queryExecution().executedPlan().toString()
+    for r in coded.collect():
+        text = dict(rows)[r["doc_id"]] or ""
+        assert r["exact"] and list(r["ids"]) == (viterbi("\u2581" + text.replace(" ", "\u2581"), pieces) if text else [])
