@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import astuple, dataclass
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from crewline.llm.common import components, materialize
 from crewline.llm.hashing import distinct_sets, gram_hashes, mix, slices, word_hashes
@@ -19,8 +19,8 @@ class Join:
 
     words: int = 4
     percent: int = 85
-    # n-grams, and words, that hold at least one part in so many of all are counted for the global order.
-    frequent: int = 2**21
+    # First, sets show their prefix by hash and so many percent of their n-grams beyond it.
+    spare: int = 10
     # A probe meets its candidates in tries of about so many sets.
     trie: int = 128
     # Rounds in which sets look for partners, the n-grams by which each looks, and the partners that each n-gram offers.
@@ -29,15 +29,6 @@ class Join:
     heads: int = 3
 
 
-@dataclass(frozen=True)
-class Order:
-    """Frequent words with the logarithms of their counts, and frequent n-grams; each ascending by hash."""
-
-    words: np.ndarray
-    weights: np.ndarray
-    grams: np.ndarray
-
-
 def _isin(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Membership in an ascending table."""
     if not len(table):
@@ -46,99 +37,123 @@ def _isin(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def _sets(texts: list[str | None], words: int, order: Order | None) -> Iterator[np.ndarray]:
-    """Each text's distinct n-grams as ascending numbers whose order is the global one.
-
-    An n-gram's number begins with a bit for a frequent n-gram, then the sum of the weights of its words, then its
-    hash: what is made of rare words comes first, what is known to be frequent last.
-    """
+def _sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
+    """Each text's distinct n-grams as ascending hashes."""
     h, bounds = word_hashes(texts)
-    grams, of = gram_hashes(h, bounds, words)
-    if order is not None and len(grams):
-        at = np.minimum(np.searchsorted(order.words, h), len(order.words) - 1) if len(order.words) else np.zeros(len(h), np.int64)
-        weight = np.where(order.words[at] == h, order.weights[at], 0) if len(order.words) else np.zeros(len(h), np.int64)
-        sums = np.append(0, np.cumsum(weight))
-        owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        whole = np.flatnonzero(np.arange(len(h)) + words <= bounds[1:][owner])
-        total = np.zeros(len(grams), np.int64)  # short texts come last among the grams and weigh nothing
-        total[: len(whole)] = sums[whole + words] - sums[whole]
-        late = _isin(grams, order.grams).astype(np.uint64)
-        grams = (late << np.uint64(63)) | (np.minimum(total, 2047).astype(np.uint64) << np.uint64(52)) | (grams >> np.uint64(12))
-    grams, cuts = distinct_sets(grams, of, len(texts))
+    grams, cuts = distinct_sets(*gram_hashes(h, bounds, words), len(texts))
     for i in range(len(texts)):
         yield grams[cuts[i] : cuts[i + 1]]
 
 
-def _local_counts(p: Join):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, kept, single = batch["text"].tolist(), [], []
-            for start, end in slices(texts):
-                kept.extend(_sets(texts[start:end], p.words, None))
-                single.append(word_hashes(texts[start:end])[0])
-            for kind, parts in (("gram", kept), ("word", single)):
-                every = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-                values, counts = np.unique(every, return_counts=True)
-                some = counts >= 2
-                out = pd.DataFrame({"hash": np.append(values[some].view(np.int64), 0), "n": np.append(counts[some], 0)})
-                yield out.assign(kind=kind, total=np.append(np.zeros(int(some.sum()), np.int64), len(every)))
-
-    return run
+def _share(n, percent: int):
+    """``ceil(percent * n / 100)``."""
+    return -(-percent * n // 100)
 
 
-def global_order(documents: DataFrame, p: Join) -> Order:
-    """Frequent words and n-grams. At most ``p.frequent`` of each can hold one part in ``p.frequent`` of all, which bounds the lists.
+def _described(p: Join, whole: bool):
+    """Size and fingerprints of each text's set with its n-grams: all of them, or those that it shows first."""
 
-    Counts come from batches of rows and leave out what is rare in a batch. They only set the order, and the join
-    is exact in any order.
-    """
-    counted = documents.select("text").mapInPandas(_local_counts(p), "hash long, n long, kind string, total long")
-    counts = materialize(counted.groupBy("kind", "hash").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
-    found = {}
-    for kind, least in (("gram", 16), ("word", 2)):
-        own = counts.where(F.col("kind") == kind)
-        total = own.agg(F.sum("total")).first()[0] or 0
-        rows = own.where(F.col("n") >= max(least, -(-total // p.frequent))).select("hash", "n").toPandas()
-        rows = rows.assign(hash=rows["hash"].to_numpy(np.int64).view(np.uint64)).sort_values("hash")
-        found[kind] = (rows["hash"].to_numpy(np.uint64), rows["n"].to_numpy(np.float64))
-    weights = np.round(16 * np.log2(found["word"][1])).astype(np.int64) if len(found["word"][1]) else np.zeros(0, np.int64)
-    return Order(found["word"][0], weights, found["gram"][0])
-
-
-def _described(p: Join, shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
             for start, end in slices(texts):
-                sizes, sums, marks, prefixes, scouts = [], [], [], [], []
-                for own in _sets(texts[start:end], p.words, Order(*shared.value)):
+                sizes, sums, marks, grams = [], [], [], []
+                for own in _sets(texts[start:end], p.words):
                     n = len(own)
                     sizes.append(n)
                     sums.append(np.add.reduce(mix(own)))
                     marks.append(np.bitwise_xor.reduce(mix(own * np.uint64(3))))
-                    # The least by another hash: two sets share each with the chance of their similarity.
-                    scouts.append(own[np.argsort(mix(own * np.uint64(5)))[: p.rounds * p.scouts]].view(np.int64))
-                    # A partner holds at least ceil(percent * n) of the set, so one of the first n - that + 1.
-                    prefixes.append(own[: n + (-p.percent * n // 100) + 1 if n else 0].view(np.int64))
+                    grams.append((own if whole else own[: n - _share(n, p.percent) + _share(n, p.spare)]).view(np.int64))
                 out = pd.DataFrame({"doc_id": batch["doc_id"].iloc[start:end].to_numpy()})
                 out["n"] = np.array(sizes, np.int64)
                 out["f1"], out["f2"] = np.array(sums, np.uint64).view(np.int64), np.array(marks, np.uint64).view(np.int64)
-                out["prefix"], out["scouts"] = pd.Series(prefixes, dtype=object), pd.Series(scouts, dtype=object)
+                out["grams"] = pd.Series(grams, dtype=object)
                 yield out
 
     return run
 
 
-def _traverse(probe: np.ndarray, n: int, sets: list[np.ndarray], sizes: list[int], ids: list[int], p: Join) -> list[int]:
+def described(documents: DataFrame, p: Join, whole: bool = False) -> DataFrame:
+    """``doc_id, n, grams, set`` of every row; ``set`` is a number made of size and fingerprints, equal for equal sets."""
+    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_described(p, whole), "doc_id long, n long, f1 long, f2 long, grams array<long>")
+    return found.select("doc_id", "n", "grams", F.xxhash64("n", "f1", "f2").alias("set"))
+
+
+def not_alone(sets: DataFrame, p: Join) -> DataFrame:
+    """``set, n, rep`` of the sets that may link: enough of the n-grams that they show first are shown by another set too.
+
+    Each set shows, in order of hash, as many n-grams as a partner may lack and a share ``k`` of its size more. The first ``k``
+    n-grams that two linked sets have in common, ``k`` of the smaller one, are then shown by both.
+    """
+    shown = sets.select("set", F.explode("grams").alias("gram")).groupBy("gram").agg(F.min("set").alias("set"), F.max("set").alias("other"))
+    single = shown.where("set = other").groupBy("set").agg(F.count("*").alias("single"))
+    every = sets.groupBy("set", "n").agg(F.min("doc_id").alias("rep"), F.max(F.size("grams")).alias("shown"))
+    least = F.expr(f"(({p.percent} * n + 99) div 100 * {p.spare} + 99) div 100")
+    return every.join(single.hint("merge"), "set", "left").where(F.col("shown") - F.coalesce("single", F.lit(0)) >= least).select("set", "n", "rep")
+
+
+def _gathered(p: Join):
+    """Rows of ``id, n, gram`` in that order to one row for each set; of a repeated n-gram one is taken."""
+
+    def closed(ids, sizes, grams):
+        begins = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        bodies = np.split(grams, begins[1:])
+        held = np.array([len(x) for x in bodies], np.int64)
+        n = sizes[begins]
+        fine = np.flatnonzero(held >= _share(n, p.percent))
+        bodies, held, n = [bodies[i] for i in fine], held[fine], n[fine]
+        out = pd.DataFrame({"id": ids[begins][fine], "n": n, "held": held})
+        out["body"] = pd.Series(bodies, dtype=object)
+        out["prefix"] = pd.Series([x[: k + 1] for x, k in zip(bodies, held - _share(n, p.percent))], dtype=object)
+        # The least by another hash: two sets share each with the chance of their similarity.
+        out["scouts"] = pd.Series([x[np.argsort(mix(x.view(np.uint64) * np.uint64(5)))[: p.rounds * p.scouts]] for x in bodies], dtype=object)
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            ids, sizes, grams = [np.append(x, batch[c].to_numpy(np.int64)) for x, c in zip(held, ("id", "n", "gram"))]
+            fresh = np.append(True, (ids[1:] != ids[:-1]) | (grams[1:] != grams[:-1]))[: len(ids)]
+            ids, sizes, grams = ids[fresh], sizes[fresh], grams[fresh]
+            last = int(np.searchsorted(ids, ids[-1])) if len(ids) else 0
+            held = [ids[last:], sizes[last:], grams[last:]]
+            if last:
+                yield closed(ids[:last], sizes[:last], grams[:last])
+        if len(held[0]):
+            yield closed(*held)
+
+    return run
+
+
+def in_order(documents: DataFrame, left: DataFrame, p: Join) -> DataFrame:
+    """``id, n, held, body, prefix, scouts`` of the sets ``left`` that may link: their ``held`` n-grams that others of them have, rarest first.
+
+    The others are known to match nothing, so they come first in the global order and are only counted. The order is
+    that of the number of sets which have an n-gram (within half a power of two), then of its hash.
+    """
+    wanted = left.select(F.col("rep").alias("doc_id")).distinct()
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    whole = described(texts, p, whole=True).select("set", F.col("doc_id").alias("rep"), "grams").join(left, ["set", "rep"])
+    grams = materialize(whole.select("id", "n", "grams")).select("id", "n", F.explode("grams").alias("gram"))
+    often = grams.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("times")).where("lo <> hi")
+    rank = F.expr("shiftleft(cast(floor(2 * log2(times)) AS bigint), 56) | shiftrightunsigned(gram, 8)").alias("gram")
+    # Merged at every size, so that what is shuffled grows with the input and not with the end of a broadcast.
+    ranked = grams.join(often.select("gram", "times").hint("merge"), "gram").select("id", "n", rank)
+    return ranked.repartition("id").sortWithinPartitions("id", "n", "gram").mapInPandas(
+        _gathered(p), "id long, n long, held long, body array<long>, prefix array<long>, scouts array<long>"
+    )
+
+
+def _traverse(probe: np.ndarray, n: int, held: int, sets: list[np.ndarray], sizes: list[int], helds: list[int], ids: list[int], p: Join) -> list[int]:
     """Ids of the sets that can link with the probe, as far as the members given tell; of whole sets, those that do.
 
-    ``probe`` and ``sets`` are whole sets or prefixes of them in the global order, ``n`` and ``sizes`` the sizes of the whole
-    sets. The sets, in lexicographic order, are the paths of a trie: neighbours share the nodes of their common
+    ``probe`` and ``sets`` are the n-grams of sets that other sets have too, all of them or the first in the global order;
+    ``held`` and ``helds`` say how many there are, ``n`` and ``sizes`` are the sizes of the whole sets. The sets, in lexicographic order, are the paths of a trie: neighbours share the nodes of their common
     beginning, and so the count of unmatched members up to there. A node with more unmatched members than the longest
     set could afford is pruned with everything below it.
     """
     need = [-(-p.percent * (n + m) // (100 + p.percent)) for m in sizes]
-    most = max(m - k for m, k in zip(sizes, need))
+    most = max(m - k for m, k in zip(helds, need))
     last = probe[-1] if len(probe) else np.uint64(0)
     order = sorted(range(len(sets)), key=lambda i: sets[i].byteswap().tobytes())
     found, path, unmatched, pruned = [], np.zeros(0, np.uint64), np.zeros(0, np.int64), None
@@ -151,7 +166,7 @@ def _traverse(probe: np.ndarray, n: int, sets: list[np.ndarray], sizes: list[int
             continue  # below a pruned node
         rest = own[common:]
         before = unmatched[common - 1] if common else 0
-        whole = len(probe) == n
+        whole = len(probe) == held
         # Beyond the end of the probe's prefix nothing is known.
         missing = ~_isin(rest, probe) if whole else ~_isin(rest, probe) & (rest <= last)
         path, unmatched = own, np.concatenate((unmatched[:common], before + np.cumsum(missing)))
@@ -159,45 +174,36 @@ def _traverse(probe: np.ndarray, n: int, sets: list[np.ndarray], sizes: list[int
         pruned = int(over[0]) if len(over) else None
         if pruned is None and len(own):
             seen = own if whole else own[own <= last]
-            mine = probe if len(own) == sizes[i] else probe[probe <= own[-1]]
+            mine = probe if len(own) == helds[i] else probe[probe <= own[-1]]
             shared = len(seen) - int(unmatched[-1])
-            if shared + min(n - len(mine), sizes[i] - len(seen)) >= need[i]:
+            if shared + min(held - len(mine), helds[i] - len(seen)) >= need[i]:
                 found.append(ids[i])
     return found
 
 
-def _probed(p: Join, shared):
-    """Probes and candidates in order of probe, trie and role: first the probe itself, then its candidates.
-
-    Their members are prefixes, or whole sets made of the texts when ``shared``, the global order, is given.
-    """
-
-    def members(batch: pd.DataFrame) -> Iterator[np.ndarray]:
-        if shared is None:
-            yield from (np.asarray(x, np.int64).view(np.uint64) for x in batch["body"])
-            return
-        texts = batch["body"].tolist()
-        for start, end in slices(texts):
-            yield from _sets(texts[start:end], p.words, Order(*shared.value))
+def _probed(p: Join):
+    """Probes and candidates in order of probe, trie and role: first the probe itself, then its candidates."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, probe, n, sets, sizes, ids = None, None, 0, [], [], []
+        key, probe, n, held, sets, sizes, helds, ids = None, None, 0, 0, [], [], [], []
 
         def close():
-            hits = _traverse(probe, n, sets, sizes, ids, p) if sets and probe is not None else []
+            hits = _traverse(probe, n, held, sets, sizes, helds, ids, p) if sets and probe is not None else []
             return pd.DataFrame({"a": np.full(len(hits), key[0] if key else 0, np.int64), "b": np.array(hits, np.int64)})
 
         for batch in batches:
             out = []
-            for a, t, role, own_id, size, own in zip(batch["a"], batch["trie"], batch["role"], batch["id"], batch["n"], members(batch)):
+            for a, t, role, own_id, size, some, body in zip(*[batch[c] for c in ("a", "trie", "role", "id", "n", "held", "body")]):
+                own = np.asarray(body, np.int64).view(np.uint64)
                 if (a, t) != key:
                     out.append(close())
-                    key, probe, sets, sizes, ids = (a, t), None, [], [], []
+                    key, probe, sets, sizes, helds, ids = (a, t), None, [], [], [], []
                 if role == 0:
-                    probe, n = own, size
+                    probe, n, held = own, size, some
                 else:
                     sets.append(own)
                     sizes.append(size)
+                    helds.append(some)
                     ids.append(own_id)
             if out:
                 yield pd.concat(out, ignore_index=True)
@@ -206,23 +212,20 @@ def _probed(p: Join, shared):
     return run
 
 
-def probe_tries(pairs: DataFrame, bodies: DataFrame, p: Join, shared=None) -> DataFrame:
-    """The pairs ``a, b`` that pass ``_traverse``. ``bodies`` has ``id, n, body``; a probe with many candidates gets several tries."""
+def probe_tries(pairs: DataFrame, bodies: DataFrame, p: Join) -> DataFrame:
+    """The pairs ``a, b`` that pass ``_traverse``. ``bodies`` has ``id, n, held, body``; a probe with many candidates gets several tries."""
     tries = pairs.groupBy("a").agg(F.ceil(F.count("*") / p.trie).cast("int").alias("tries"))
     members = pairs.join(tries, "a").select("a", F.pmod(F.xxhash64("b"), F.col("tries").cast("long")).cast("int").alias("trie"), F.lit(1).alias("role"), F.col("b").alias("id"))
     probes = tries.select("a", F.explode(F.sequence(F.lit(0), F.col("tries") - 1)).alias("trie"), F.lit(0).alias("role"), F.col("a").alias("id"))
     rows = members.unionByName(probes).join(bodies, "id")
-    dealt = rows.select("a", "trie", "role", "id", "n", "body").repartition("a", "trie").sortWithinPartitions("a", "trie", "role")
-    return materialize(dealt.mapInPandas(_probed(p, shared), "a long, b long"))
+    dealt = rows.select("a", "trie", "role", "id", "n", "held", "body").repartition("a", "trie").sortWithinPartitions("a", "trie", "role")
+    return materialize(dealt.mapInPandas(_probed(p), "a long, b long"))
 
 
-def verify(pairs: DataFrame, reps: DataFrame, documents: DataFrame, p: Join, shared) -> DataFrame:
+def verify(pairs: DataFrame, reps: DataFrame, p: Join) -> DataFrame:
     """The pairs whose sets link: prefixes sort out nearly all others, then whole sets decide."""
-    likely = probe_tries(materialize(pairs), reps.select("id", "n", F.col("prefix").alias("body")), p)
-    wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body")).where("id IS NOT NULL")
-    texts = materialize(texts.join(wanted, "id", "left_semi").join(reps.select("id", "n"), "id"))
-    return probe_tries(likely, texts, p, shared)
+    likely = probe_tries(materialize(pairs), reps.select("id", "n", "held", F.col("prefix").alias("body")), p)
+    return probe_tries(likely, reps.select("id", "n", "held", "body"), p)
 
 
 def ngram_groups(documents: DataFrame, p: Join = Join()) -> DataFrame:
@@ -231,24 +234,21 @@ def ngram_groups(documents: DataFrame, p: Join = Join()) -> DataFrame:
     Words are runs without white space, A-Z lower-cased; a text with fewer words than an n-gram counts as one
     n-gram; a text without words (or null) has an empty set and links with nothing. Equal sets are folded first.
 
-    Sets are in one global order: n-grams of rare words first, frequent n-grams last. Two sets that link share an
-    n-gram of their prefixes. First, in a few rounds, every set looks for partners with a few n-grams chosen by hash: of the sets of about
-    its size that share one and are in other groups yet, it meets a few. What links so is a group. Then all prefixes are
-    compared, but only across groups, so a large group of near copies does not grow into all its pairs, and
-    no link between groups is lost. Candidates meet in tries, of prefixes and then of whole sets (see ``_traverse``).
+    A set of which too many n-grams are in no other set links with nothing. Most such sets are found by the first of their
+    n-grams in order of hash, the others by all; what is left is in one global order, the rarest n-grams first. Two
+    sets that link share an n-gram of their prefixes. First, in a few rounds, every set looks for partners with a few n-grams
+    chosen by hash: of the sets of about its size that share one and are in other groups yet, it meets a few. What links so is
+    a group. Then all prefixes are compared, but only across groups, so a large group of near copies does not grow into
+    all its pairs, and no link between groups is lost. Candidates meet in tries, of prefixes and then of whole sets (see
+    ``_traverse``). N-grams are told apart by hashes of 64 bits, and of 56 beside their rank among the sets that are left.
 
     Rows with a null ``doc_id`` link with nothing and have a null component. Rows that share a ``doc_id`` are
     grouped by their own texts. Repeated rows stay; other columns play no part; an empty table gives no rows.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(astuple(global_order(documents, p)))
-    schema = "doc_id long, n long, f1 long, f2 long, prefix array<long>, scouts array<long>"
-    sets = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_described(p, shared), schema))
-    same = ["n", "f1", "f2"]
-    folded = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    named = materialize(sets.where("n > 0 AND doc_id IS NOT NULL").join(folded, same).select("doc_id", *same, "rep", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("prefix", "scouts")]))
-    # One row for each set; of rows that repeat a document any will do, as their sets are equal.
-    reps = named.where("prefix IS NOT NULL").dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "n", "prefix", "scouts")
-    reps = materialize(reps)
+    sets = materialize(described(documents, p))
+    linked = sets.where("n > 0 AND doc_id IS NOT NULL")
+    left = materialize(not_alone(linked, p).withColumn("id", F.monotonically_increasing_id()))
+    reps = materialize(in_order(documents, left, p))
 
     band = F.floor(F.log("n") / float(-np.log(p.percent / 100))).cast("int").alias("band")
     first, grouped = None, reps.withColumn("grp", F.col("id"))
@@ -258,26 +258,30 @@ def ngram_groups(documents: DataFrame, p: Join = Join()) -> DataFrame:
         heads = scouts.groupBy("gram", "band").agg(F.array(*offered).alias("heads"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi")
         stars = scouts.join(heads, ["gram", "band"]).select("id", "grp", F.explode("heads").alias("head")).where("grp <> head.grp")
         stars = stars.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
-        found = verify(stars, reps, documents, p, shared)
+        found = verify(stars, reps, p)
         first = found if first is None else first.unionByName(found)
         near = components(first)
         grouped = materialize(reps.join(near, "id", "left").withColumn("grp", F.coalesce("component", "id")).drop("component"))
 
-    posts = grouped.select("id", "n", "grp", F.posexplode("prefix").alias("place", "gram"))
+    posts = grouped.select("id", "n", "held", "grp", F.posexplode("prefix").alias("place", "gram"))
     crossed = posts.groupBy("gram").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo != hi").select("gram")
-    left = materialize(posts.join(crossed, "gram", "left_semi"))
-    a, b = [left.select("gram", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "grp", "place")]) for side in "ab"]
+    shared = materialize(posts.join(crossed, "gram", "left_semi"))
+    a, b = [shared.select("gram", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "held", "grp", "place")]) for side in "ab"]
     alike = (F.col("a_n") * p.percent <= F.col("b_n") * 100) & (F.col("b_n") * p.percent <= F.col("a_n") * 100)
     # Before their first common n-gram two sets share nothing: what is left from there on must reach the overlap needed.
-    ahead = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    ahead = F.least(F.col("a_held") - F.col("a_place"), F.col("b_held") - F.col("b_place"))
     reaches = ahead * (100 + p.percent) >= (F.col("a_n") + F.col("b_n")) * p.percent
     # The smaller set (then the smaller id) is the probe.
     ordered = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
     met = a.join(b, "gram").where((F.col("a_grp") != F.col("b_grp")) & alike & reaches & ordered)
-    second = verify(met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct(), reps, documents, p, shared)
-
-    groups = components(first.unionByName(second))
-    verdicts = named.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    verdicts = verdicts.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    second = verify(met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct(), reps, p)
+
+    groups = left.join(components(first.unionByName(second)), "id").select("set", F.col("component").alias("grp"))
+    named = materialize(linked.select("doc_id", "n", "set").join(groups, "set", "left"))
+    # A group is named by its number, a set without links by its own; then by the smallest id of its documents.
+    named = named.select("doc_id", "n", "grp", F.when(F.col("grp").isNull(), F.col("set")).alias("own"))
+    least = named.groupBy("grp", "own").agg(F.min("doc_id").alias("component_id"))
+    same = named.alias("x").join(least.alias("y"), F.expr("x.grp <=> y.grp AND x.own <=> y.own"))
+    verdicts = same.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = sets.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return verdicts.unionByName(alone)
