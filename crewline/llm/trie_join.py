@@ -50,8 +50,8 @@ def _share(n, percent: int):
     return -(-percent * n // 100)
 
 
-def _described(p: Join, whole: bool):
-    """Size and fingerprints of each text's set with its n-grams: all of them, or those that it shows first."""
+def _described(p: Join, whole: bool, keep: tuple[str, ...] = ()):
+    """Size and fingerprints of each text's set with its n-grams: all of them, or those that it shows first; ``keep`` are columns that stay."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -64,7 +64,7 @@ def _described(p: Join, whole: bool):
                     sums.append(np.add.reduce(mix(own)))
                     marks.append(np.bitwise_xor.reduce(mix(own * np.uint64(3))))
                     grams.append((own if whole else own[: n - _share(n, p.percent) + _share(n, p.spare)]).view(np.int64))
-                out = pd.DataFrame({"doc_id": batch["doc_id"].iloc[start:end].to_numpy()})
+                out = pd.DataFrame({c: batch[c].iloc[start:end].to_numpy() for c in ("doc_id", *keep)})
                 out["n"] = np.array(sizes, np.int64)
                 out["f1"], out["f2"] = np.array(sums, np.uint64).view(np.int64), np.array(marks, np.uint64).view(np.int64)
                 out["grams"] = pd.Series(grams, dtype=object)
@@ -79,6 +79,21 @@ def described(documents: DataFrame, p: Join, whole: bool = False) -> DataFrame:
     return found.select("doc_id", "n", "grams", F.xxhash64("n", "f1", "f2").alias("set"))
 
 
+def sifted(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The ``rows`` whose number in ``column`` is among those of ``wanted`` (its only column), and a few others.
+
+    The numbers wanted are one bit each of bitmaps of 32,768, of about 32 bits a number and at most 8 MB together, which
+    are sent to the rows, so that rows not wanted leave where they are read. With ever more numbers more of the others stay.
+    """
+    pieces, n = 1, wanted.count()
+    while pieces < 2048 and pieces * 1024 < n:
+        pieces *= 2
+    hashed = lambda name: (F.pmod(F.xxhash64(name), F.lit(pieces)).alias("piece"), F.pmod(F.shiftright(F.xxhash64(name), 12), F.lit(32768)).alias("bit"))
+    marks = wanted.select(*hashed(wanted.columns[0])).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("marks"))
+    among = F.expr("shiftright(cast(conv(hex(substring(marks, cast(bit div 8 AS int) + 1, 1)), 16, 10) AS int), cast(bit % 8 AS int)) & 1 = 1")
+    return rows.select("*", *hashed(column)).join(F.broadcast(marks), "piece").where(among).select(*rows.columns)
+
+
 def not_alone(sets: DataFrame, p: Join) -> DataFrame:
     """``set, n, rep`` of the sets that may link: enough of the n-grams that they show first are shown by another set too.
 
@@ -131,13 +146,15 @@ def in_order(documents: DataFrame, left: DataFrame, p: Join) -> DataFrame:
     The others are known to match nothing, so they come first in the global order and are only counted. The order is
     that of the number of sets which have an n-gram (within half a power of two), then of its hash.
     """
-    wanted = left.select(F.col("rep").alias("doc_id")).distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    whole = described(texts, p, whole=True).select("set", F.col("doc_id").alias("rep"), "grams").join(left, ["set", "rep"])
-    grams = materialize(whole.select("id", "n", "grams")).select("id", "n", F.explode("grams").alias("gram"))
-    often = grams.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("times")).where("lo <> hi")
+    ours = left.select(F.col("rep").alias("doc_id"), "id", F.col("set").alias("own"))
+    texts = sifted(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", ours.select("doc_id"))
+    # Joins are merged at every size, so that what is shuffled grows with the input and not with the end of a broadcast.
+    held = texts.join(ours.hint("merge"), "doc_id").mapInPandas(_described(p, True, ("id", "own")), "doc_id long, id long, own long, n long, f1 long, f2 long, grams array<long>")
+    whole = materialize(held.where(F.xxhash64("n", "f1", "f2") == F.col("own")).select("id", "n", "grams"))
+    # Dealt once by n-gram, both to be counted and to meet the counts; so both read the same columns.
+    grams = whole.select("id", "n", F.explode("grams").alias("gram")).repartition("gram")
+    often = grams.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("n").alias("times")).where("lo <> hi")
     rank = F.expr("shiftleft(cast(floor(2 * log2(times)) AS bigint), 56) | shiftrightunsigned(gram, 8)").alias("gram")
-    # Merged at every size, so that what is shuffled grows with the input and not with the end of a broadcast.
     ranked = grams.join(often.select("gram", "times").hint("merge"), "gram").select("id", "n", rank)
     return ranked.repartition("id").sortWithinPartitions("id", "n", "gram").mapInPandas(
         _gathered(p), "id long, n long, held long, body array<long>, prefix array<long>, scouts array<long>"
@@ -217,7 +234,8 @@ def probe_tries(pairs: DataFrame, bodies: DataFrame, p: Join) -> DataFrame:
     tries = pairs.groupBy("a").agg(F.ceil(F.count("*") / p.trie).cast("int").alias("tries"))
     members = pairs.join(tries, "a").select("a", F.pmod(F.xxhash64("b"), F.col("tries").cast("long")).cast("int").alias("trie"), F.lit(1).alias("role"), F.col("b").alias("id"))
     probes = tries.select("a", F.explode(F.sequence(F.lit(0), F.col("tries") - 1)).alias("trie"), F.lit(0).alias("role"), F.col("a").alias("id"))
-    rows = members.unionByName(probes).join(bodies, "id")
+    met = sifted(bodies, "id", pairs.select("a").union(pairs.select("b")))
+    rows = members.unionByName(probes).join(met.hint("merge"), "id")
     dealt = rows.select("a", "trie", "role", "id", "n", "held", "body").repartition("a", "trie").sortWithinPartitions("a", "trie", "role")
     return materialize(dealt.mapInPandas(_probed(p), "a long, b long"))
 
@@ -251,17 +269,20 @@ def ngram_groups(documents: DataFrame, p: Join = Join()) -> DataFrame:
     reps = materialize(in_order(documents, left, p))
 
     band = F.floor(F.log("n") / float(-np.log(p.percent / 100))).cast("int").alias("band")
-    first, grouped = None, reps.withColumn("grp", F.col("id"))
+    # Whole sets stay behind; only what looks for partners is written again with its group.
+    seekers = reps.drop("body")
+    first, grouped = None, seekers.withColumn("grp", F.col("id"))
     for turn in range(p.rounds):
-        scouts = grouped.select("id", "grp", band, F.explode(F.slice("scouts", turn * p.scouts + 1, p.scouts)).alias("gram"))
-        offered = [F.min(F.struct(F.xxhash64("id", "gram", F.lit(i)), "id", "grp")) for i in range(p.heads)]
+        scouts = grouped.select("id", "grp", band, (F.col("n") - F.col("held")).alias("own"), F.explode(F.slice("scouts", turn * p.scouts + 1, p.scouts)).alias("gram"))
+        # The first has the fewest n-grams of its own: near copies differ less from what they were made of than from each other.
+        offered = [F.min(F.struct((F.col("own") * int(i == 0)).alias("own"), F.xxhash64("id", "gram", F.lit(i)).alias("by"), "id", "grp")) for i in range(p.heads)]
         heads = scouts.groupBy("gram", "band").agg(F.array(*offered).alias("heads"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi")
         stars = scouts.join(heads, ["gram", "band"]).select("id", "grp", F.explode("heads").alias("head")).where("grp <> head.grp")
         stars = stars.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
         found = verify(stars, reps, p)
         first = found if first is None else first.unionByName(found)
         near = components(first)
-        grouped = materialize(reps.join(near, "id", "left").withColumn("grp", F.coalesce("component", "id")).drop("component"))
+        grouped = materialize(seekers.join(near, "id", "left").withColumn("grp", F.coalesce("component", "id")).drop("component"))
 
     posts = grouped.select("id", "n", "held", "grp", F.posexplode("prefix").alias("place", "gram"))
     crossed = posts.groupBy("gram").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo != hi").select("gram")

@@ -136,6 +136,33 @@ def test_ngram_groups_leave_out_what_cannot_link(spark):
     assert sorted(tuple(r) for r in got) == brute_groups(rows, p.words, p.percent)
 
 
+def test_sifted_keeps_every_number_wanted(spark):
+    rows = spark.range(-3000, 3000).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("x"))
+    wanted = rows.where("pmod(doc_id, 7) = 0").select(F.col("doc_id").alias("w"))
+    got = {r["doc_id"] for r in trie_join.sifted(rows, "doc_id", wanted).collect()}
+    must = {i for i in range(-3000, 3000) if i % 7 == 0}
+    assert must <= got and len(got) < 2 * len(must)
+    assert trie_join.sifted(rows, "doc_id", wanted.where("false")).count() == 0
+
+
+def test_ngram_groups_meet_near_copies_through_few_pairs(spark, monkeypatch):
+    """A group of near copies meets mostly what they were made of, so pairs grow with the group and not with its square."""
+    r = random.Random(8)
+    base = [f"b{j}" for j in range(80)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 300):
+        own = base[:]
+        for j in r.sample(range(80), 1):
+            own[j] = f"e{i}x{j}"
+        rows.append((i, " ".join(own)))
+    seen, verify = [], trie_join.verify
+    monkeypatch.setattr(trie_join, "verify", lambda pairs, reps, p: (seen.append(pairs.count()), verify(pairs, reps, p))[1])
+    got = trie_join.ngram_groups(table(spark, rows)).collect()
+    p = trie_join.Join()
+    assert sorted(tuple(r) for r in got) == brute_groups(rows, p.words, p.percent)
+    assert sum(seen) < 20 * len(rows), seen
+
+
 def test_toxicity(spark):
     documents, labels = (spark.read.parquet(f"{SMALL.replace('0.001', '0.1')}/{n}.parquet") for n in ("documents", "labels"))
     got = toxicity.toxicity(documents, labels).join(labels.withColumnRenamed("toxic", "y"), "doc_id").toPandas()
