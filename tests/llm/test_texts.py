@@ -6,6 +6,8 @@ import math
 import random
 import re
 import tempfile
+import tracemalloc
+import types
 import zlib
 
 import numpy as np
@@ -182,6 +184,24 @@ def test_toxicity_without_anything(spark):
     assert toxicity.toxicity(rows, some).count() == 4 and toxicity.toxicity(table(spark, []), some).count() == 0
 
 
+def test_toxicity_learns_in_bounded_memory():
+    """Features are held in two bytes each, and what hashing needs beside them does not grow with the batch."""
+    rng = np.random.default_rng(4)
+    rows = [" ".join(f"w{i}x" for i in rng.integers(0, 10**6, 1500)) for _ in range(300)]
+    batch = pd.DataFrame({"doc_id": range(300), "text": rows, "label": [i % 2 for i in range(300)]})
+    tracemalloc.start()
+    (out,) = toxicity._train(toxicity.Ftrl(passes=1))(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) and peak < 60e6
+
+
+@pytest.mark.parametrize("numbers", [[], [0], [65535, 65536], [1, 2, 70000, 200000, 2**18]])
+def test_packed_features(numbers):
+    at = np.array(numbers, np.int64)
+    assert toxicity.unpacked(*toxicity.packed(at)).tolist() == numbers
+
+
 def brute_lm(rows):
     held = {i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
     tokens = [(i, [*words(t), None]) for i, t in rows]
