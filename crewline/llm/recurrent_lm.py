@@ -14,6 +14,9 @@ from crewline.llm.common import materialize
 from crewline.llm.hashing import FOLD, slices, word_hashes
 
 KINDS = 4
+# Characters hashed, and texts scored side by side, at a time: few enough for what comes between to stay in the processor's cache.
+SLICE = 1 << 18
+SCORED = 512
 
 
 @dataclass(frozen=True)
@@ -49,7 +52,7 @@ def _kinds(texts: list[str | None]) -> np.ndarray:
 
 def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts = []
-    for start, end in slices(texts):
+    for start, end in slices(texts, SLICE):
         h, bounds = word_hashes(texts[start:end])
         parts.append((h, _kinds(texts[start:end]), np.diff(bounds)))
     if not parts:
@@ -143,109 +146,156 @@ def initial(v: Vocabulary, p: Model) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
 
 
-def _steps(w: dict, codes: np.ndarray, active: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """Run the cell over a window (steps x lanes); lanes are active from the left. Returns the state before each step."""
-    size = h.shape[1]
-    before = np.empty((len(codes), len(h), size), np.float32)
+def _sorted(numbers: np.ndarray, limit: int) -> np.ndarray:
+    """Stable order of numbers below ``limit``; numpy sorts those of 16 bits by digits."""
+    return np.argsort(numbers.astype(np.min_scalar_type(limit)), kind="stable")
+
+
+def _by_gate(x: np.ndarray) -> np.ndarray:
+    """Columns of the three gates, side by side, as one table for each gate."""
+    return np.ascontiguousarray(x.reshape(len(x), 3, -1).transpose(1, 0, 2))
+
+
+def _steps(w: dict, codes: np.ndarray, active: np.ndarray, h: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    """Run the cell over a window (steps x lanes); lanes are active from the left. Returns the state before each step.
+
+    Without ``keep`` the state is carried on in place; ``keep`` gets what learning needs, with zeros for lanes not active.
+    """
+    shape = (*codes.shape, h.shape[1])
+    before = np.empty(shape, np.float32)
+    given, back = _by_gate(w["gates"]), _by_gate(w["back"])
+    if keep is not None:
+        h = h.copy()
+        kind = np.result_type(h, back)
+        keep |= {"zr": np.zeros((2, *shape), kind), "c": np.zeros(shape, kind), "b": np.zeros(shape, kind)}
     for t in range(len(codes)):
         n = int(active[t])
         before[t] = h
         own = h[:n]
-        a, b = w["gates"][codes[t, :n]], own @ w["back"]
-        open_gates = _sigmoid(a[:, : 2 * size] + b[:, : 2 * size])
-        z, r = open_gates[:, :size], open_gates[:, size:]
-        c = np.tanh(a[:, 2 * size :] + r * b[:, 2 * size :])
+        a, b = given.take(codes[t, :n], axis=1), own @ back
+        a[:2] += b[:2]
+        z, r = _sigmoid(a[:2])
+        c = a[2]
+        c += r * b[2]
+        np.tanh(c, out=c)
         if keep is not None:
-            keep.append((z, r, c, b[:, 2 * size :]))
-            h = h.copy()
-        h[:n] = c + z * (own - c)
+            keep["zr"][:, t, :n], keep["c"][t, :n], keep["b"][t, :n] = a[:2], c, b[2]
+        own -= c
+        own *= z
+        own += c
     return before
 
 
 def _outputs(w: dict, v: Vocabulary, states: np.ndarray, code: np.ndarray, grads: dict | None = None):
     """Natural log-probability of each code given the state before it, up to the static share within a band or kind; gradient of the states."""
-    cls = v.class_of(code)
-    logits = states @ w["to_class"] + w["class_bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    exp = np.exp(logits)
-    total = exp.sum(axis=1)
-    rows = np.arange(len(code))
-    logp = logits[rows, cls] - np.log(total)
+    cls, rows, size = v.class_of(code), np.arange(len(code)), states.shape[1]
+    # In order of class, so that each class has a stretch of the rows; those of classes that are no words come last.
+    order = _sorted(cls, v.classes)
+    cls, code = cls[order], code[order]
+    # One column more meets the biases.
+    s = np.ones((len(order), size + 1), states.dtype)
+    s[:, :size] = states.take(order, axis=0)
+    to_class = np.concatenate((w["to_class"], w["class_bias"][None]))
+    to_word = np.concatenate((w["to_word"], w["word_bias"][:, None]), axis=1)
+    most = np.abs(s).max(axis=0, initial=1)
+
+    def shares(logits, weights, at):
+        """Log-share of each row's own column. For learning the logits become the gradient: the shares, less one in the own column."""
+        # Where no exponential can leave the range of the type, the greatest logit is not taken off.
+        if (most @ np.abs(weights)).max() > 60:
+            logits -= logits.max(axis=1, keepdims=True)
+        found = logits[rows[: len(at)], at]
+        np.exp(logits, out=logits)
+        total = logits @ np.ones(logits.shape[1], logits.dtype)
+        if grads is not None:
+            logits /= total[:, None]
+            logits[rows[: len(at)], at] -= 1
+        return found - np.log(total)
+
+    logits = s @ to_class
+    found = shares(logits, to_class, cls)
     back = None
     if grads is not None:
-        d = exp / total[:, None]
-        d[rows, cls] -= 1
-        grads["to_class"], grads["class_bias"] = states.T @ d, d.sum(axis=0)
-        back = d @ w["to_class"].T
-        grads["to_word"], grads["word_bias"] = np.zeros_like(w["to_word"]), np.zeros_like(w["word_bias"])
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(v.heads + 1))
-    for k in range(v.heads):
-        own = order[cuts[k] : cuts[k + 1]]
+        g = s.T @ logits
+        grads["to_class"], grads["class_bias"] = g[:size], g[size]
+        back = logits @ w["to_class"].T
+        g = np.zeros_like(to_word)
+    cuts = np.searchsorted(cls, np.arange(v.heads + 1))
+    for k, (begin, end) in enumerate(zip(cuts[:-1], cuts[1:])):
         span = slice(v.class_begin[k], v.class_begin[k + 1])
-        if not len(own) or span.stop - span.start == 1:
+        if begin == end or span.stop - span.start == 1:
             continue
-        s = states[own]
-        inner = s @ w["to_word"][span].T + w["word_bias"][span]
-        inner -= inner.max(axis=1, keepdims=True)
-        e = np.exp(inner)
-        t = e.sum(axis=1)
-        at = code[own] - span.start
-        logp[own] += inner[np.arange(len(own)), at] - np.log(t)
+        own, weights = s[begin:end], to_word[span]
+        logits = own @ weights.T
+        found[begin:end] += shares(logits, weights.T, code[begin:end] - span.start)
         if grads is not None:
-            d = e / t[:, None]
-            d[np.arange(len(own)), at] -= 1
-            grads["to_word"][span], grads["word_bias"][span] = d.T @ s, d.sum(axis=0)
-            back[own] += d @ w["to_word"][span]
-    return logp, back
+            g[span] = logits.T @ own
+            back[begin:end] += logits @ w["to_word"][span]
+    logp = np.empty_like(found)
+    logp[order] = found
+    if grads is None:
+        return logp, None
+    grads["to_word"], grads["word_bias"] = g[:, :size], g[:, size]
+    in_place = np.empty_like(back)
+    in_place[order] = back
+    return logp, in_place
 
 
 def _learn(w: dict, memory: dict, v: Vocabulary, codes: np.ndarray, active: np.ndarray, h: np.ndarray, p: Model) -> np.ndarray:
     """One step of truncated backpropagation through a window; returns the state to carry on."""
-    keep: list = []
+    keep: dict = {}
     before = _steps(w, codes, active, h, keep)
-    mask = np.arange(codes.shape[1])[None, :] < active[:, None]
+    size, lanes = p.hidden, codes.shape[1]
+    flatly = lambda x: x.reshape(-1, size)
+    used = np.flatnonzero(np.arange(lanes)[None, :] < active[:, None])
+    flat = codes.ravel()[used]
     grads: dict = {}
-    _, back = _outputs(w, v, before[mask], codes[mask], grads)
+    _, back = _outputs(w, v, flatly(before).take(used, axis=0), flat, grads)
     d_before = np.zeros_like(before)
-    d_before[mask] = back
-    size = p.hidden
-    d_gates = np.zeros((*codes.shape, 3 * size), np.float32)
-    grads["back"] = np.zeros_like(w["back"])
+    flatly(d_before)[used] = back
+    (z, r), c, b = keep["zr"], keep["c"], keep["b"]
+    # What does not depend on later steps, for the whole window at once.
+    shut = 1 - z
+    by_z, by_c, by_r = (before - c) * z * shut, shut * (1 - c * c), b * r * (1 - r)
+    # Gradients of the gates, as the state before meets them and, of the last, as the input does.
+    to_back, d_c = np.zeros((3, *before.shape), np.float32), np.zeros(before.shape, np.float32)
+    from_back = np.ascontiguousarray(_by_gate(w["back"]).transpose(0, 2, 1))
     dh = np.zeros_like(h)
     for t in range(len(codes) - 1, -1, -1):
         n = int(active[t])
-        z, r, c, b = keep[t]
-        own, d = before[t, :n], dh[:n]
-        dz = d * (own - c) * z * (1 - z)
-        dc = d * (1 - z) * (1 - c * c)
-        dr = dc * b * r * (1 - r)
-        to_back = np.concatenate((dz, dr, dc * r), axis=1)
-        d_gates[t, :n] = np.concatenate((dz, dr, dc), axis=1)
-        grads["back"] += own.T @ to_back
-        dh = dh.copy()
-        dh[:n] = d * z + to_back @ w["back"].T
+        d, g, dc = dh[:n], to_back[:, t, :n], d_c[t, :n]
+        dc[...] = d * by_c[t, :n]
+        g[0], g[1], g[2] = d * by_z[t, :n], dc * by_r[t, :n], dc * r[t, :n]
+        d *= z[t, :n]
+        for part in g @ from_back:
+            d += part
         dh += d_before[t]
-    flat = codes[mask]
-    order = np.argsort(flat, kind="stable")
-    opens = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
-    rows, sums = flat[order][opens], np.add.reduceat(d_gates[mask][order], opens, axis=0)
+    grads["back"] = np.concatenate([flatly(before).T @ flatly(g) for g in to_back], axis=1)
+    order = _sorted(flat, v.inputs)
+    ascending, by_code = flat[order], used[order]
+    opens = np.flatnonzero(np.append(True, ascending[1:] != ascending[:-1]))
+    d_gates = np.concatenate([flatly(g).take(by_code, axis=0) for g in (to_back[0], to_back[1], d_c)], axis=1)
+    rows, sums = ascending[opens], np.add.reduceat(d_gates, opens, axis=0)
     scale = np.float32(1 / max(1, len(flat)))
     for name, g in grads.items():
         g = g * scale
         memory[name] += g * g
         w[name] -= p.rate * g / (np.sqrt(memory[name]) + 1e-6)
     g = sums * scale
-    memory["gates"][rows] += g * g
-    w["gates"][rows] -= p.rate * g / (np.sqrt(memory["gates"][rows]) + 1e-6)
+    seen = memory["gates"][rows] + g * g
+    memory["gates"][rows] = seen
+    w["gates"][rows] -= p.rate * g / (np.sqrt(seen) + 1e-6)
     # The state after the window, with the new weights left for the next one.
     last = before[-1].copy()
     n = int(active[-1])
-    z, r, c, _ = keep[-1]
-    last[:n] = c + z * (last[:n] - c)
+    last[:n] = c[-1, :n] + z[-1, :n] * (last[:n] - c[-1, :n])
     return last
 
 
@@ -258,7 +308,7 @@ def _lanes(codes: np.ndarray, sizes: np.ndarray, group: np.ndarray, end: int, st
     at = offsets[group][None, :] + steps
     inside = steps < sizes[group][None, :]
     if len(codes):
-        out = np.where(inside, codes[np.minimum(at, len(codes) - 1)], end)
+        out = np.where(inside, codes.take(at, mode="clip"), end)
     else:
         out = np.full(at.shape, end)
     return out, active
@@ -339,18 +389,17 @@ def _scored(shared, weights: bytes, p: Model):
             per = lambda x: np.bincount(of, weights=x, minlength=len(sizes))
             score = per(static).astype(np.float64)
             order = np.argsort(-sizes, kind="stable")
-            for first in range(0, len(order), 4096):
-                group = order[first : first + 4096]
+            for first in range(0, len(order), SCORED):
+                group = order[first : first + SCORED]
                 state = np.zeros((len(group), p.hidden), np.float32)
                 for start in range(0, int(sizes[group[0]]) + 1, p.window):
                     own, active = _lanes(codes, sizes, group, v.end, start, start + p.window, offsets)
                     n = int(active[0])
                     own, state = own[:, :n], state[:n].copy()
                     before = _steps(w, own, active, state)
-                    mask = np.arange(n)[None, :] < active[:, None]
-                    logp, _ = _outputs(w, v, before[mask], own[mask])
-                    lane = np.broadcast_to(np.arange(n), mask.shape)[mask]
-                    score[group[:n]] += np.bincount(lane, weights=logp, minlength=n)
+                    used = np.flatnonzero(np.arange(n)[None, :] < active[:, None])
+                    logp, _ = _outputs(w, v, before.reshape(-1, p.hidden).take(used, axis=0), own.ravel()[used])
+                    score[group[:n]] += np.bincount(used % n, weights=logp, minlength=n)
             out = batch[["row", "doc_id", "held_out"]].assign(
                 n_tokens=sizes + 1, listed=per(known.astype(float)).astype(np.int64), log_counts=per(ones), log_model=score
             )

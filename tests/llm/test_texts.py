@@ -257,6 +257,30 @@ def test_lm_gradient():
         assert math.sqrt(memory[name][at]) == pytest.approx(abs(slope), rel=0.03, abs=2e-4), name
 
 
+def test_lm_with_far_logits():
+    counts = np.array([50, 20, 9, 9, 3, 2, 2], float)
+    v = recurrent_lm.Vocabulary(np.arange(7, dtype=np.uint64), counts, 5, np.zeros(4), recurrent_lm.Model(modelled=12, classes=3))
+    w = recurrent_lm.initial(v, recurrent_lm.Model())
+    w["to_class"][:] = np.linspace(-90, 90, w["to_class"].size, dtype=np.float32).reshape(w["to_class"].shape)
+    w["to_word"][:] = np.linspace(90, -90, w["to_word"].size, dtype=np.float32).reshape(w["to_word"].shape)
+    logp, _ = recurrent_lm._outputs(w, v, np.ones((v.inputs, 16), np.float32), np.arange(v.inputs))
+    assert np.isfinite(logp).all() and np.exp(logp.astype(float)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_scores_in_bounded_memory():
+    """What a window needs beside its batch does not grow with the texts of the batch."""
+    counts = np.full(300, 40.0)
+    p = recurrent_lm.Model()
+    v = recurrent_lm.Vocabulary(np.arange(300, dtype=np.uint64), counts, 5, np.zeros(4), p)
+    shared, packed = types.SimpleNamespace(value=vars(v)), recurrent_lm._packed(recurrent_lm.initial(v, p))
+    batch = pd.DataFrame({"row": range(4000), "doc_id": range(4000), "held_out": False, "text": ["a b c d " * 8] * 4000})
+    tracemalloc.start()
+    (out,) = recurrent_lm._scored(shared, packed, p)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 4000 and peak < 50e6
+
+
 def test_lm_of_nothing(spark):
     assert recurrent_lm.score_documents(table(spark, []), F.lit(False)).count() == 0
     got = recurrent_lm.score_documents(table(spark, [(1, "a b"), (None, None)]), F.lit(True)).collect()
